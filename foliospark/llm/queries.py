@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.llm import flac, sharding
+from foliospark.llm import flac, sharding, token_counts
 
-MODULES = (sharding, flac)
+MODULES = (sharding, flac, token_counts)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
