@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.llm import flac, piece_codec, sharding, token_counts
+from foliospark.llm import flac, lm_scoring, piece_codec, quality_lm, sharding, token_counts
 
-MODULES = (sharding, flac, token_counts, piece_codec)
+MODULES = (lm_scoring, sharding, piece_codec, flac, token_counts, quality_lm)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
