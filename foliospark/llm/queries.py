@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.llm import flac, lm_scoring, piece_codec, quality_lm, sharding, shingle_join, token_counts
+from foliospark.llm import decontaminate, flac, line_dedup, lm_scoring, piece_codec, quality_lm, sharding, shingle_join, token_counts
 
-MODULES = (shingle_join, lm_scoring, sharding, piece_codec, flac, token_counts, quality_lm)
+MODULES = (shingle_join, lm_scoring, sharding, decontaminate, piece_codec, line_dedup, flac, token_counts, quality_lm)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
