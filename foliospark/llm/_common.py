@@ -109,3 +109,18 @@ def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = CHUNK_BYTES, colu
 def byte_list(col: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column without decoding them."""
     return col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary()).to_pylist()
+
+
+#: Rows of ids (tens of bytes each) that may be broadcast; a larger side is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_side(df: DataFrame, weight: str = "1") -> DataFrame:
+    """A written table of ids, marked for broadcast if its counted rows (or summed ``weight``) are within the bound, else for a shuffled hash join."""
+    rows = df.agg(F.coalesce(F.sum(F.expr(weight)), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is in the written table ``ids``; rows without an id stay."""
+    return docs.join(checked_side(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm._common import Scratch, chunks, doc_text, table
+from foliospark.llm._common import Scratch, checked_side, chunks, doc_text, table
 
 MIN_WORDS = 20
 
@@ -130,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone, names = find_repeats(docs, min_words), [c for c in docs.columns if c != "lines_removed"]
     rows = docs.select(*names)
     key, marks_of = f"_id_{scratch_name()}", f"_gone_{scratch_name()}"
-    gone = gone.select(F.col("doc_id").alias(key), F.col("gone").alias(marks_of)).hint("shuffle_hash")
+    gone = checked_side(gone.select(F.col("doc_id").alias(key), F.col("gone").alias(marks_of)), f"size({marks_of})")
     marked = rows.withColumn(key, F.col("doc_id").cast("long")).join(gone, key, "left").drop(key)
     place = names.index("text")
     schema = T.StructType([*rows.schema.fields, T.StructField("lines_removed", T.IntegerType())])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import Scratch, byte_list, chunks, doc_text, shuffle_partitions, table
+from foliospark.llm._common import Scratch, byte_list, checked_side, chunks, doc_text, shuffle_partitions, table
 from foliospark.llm.components import connected_components
 
 WORDS = 5
@@ -44,6 +44,7 @@ BLOCK_TOKENS = 1_000_000
 VERIFY_COST = 30  # verifying a pair costs so many list entries
 MAX_ROUNDS = 8
 _PRIME, _ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_STEPS = np.arange(1, 65, dtype=np.uint64) * _ODD
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -88,7 +89,7 @@ def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
     words, counts = word_hashes(texts)
     grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
-        grams = _mix(grams + words[k : k + len(grams)] + np.uint64(k + 1) * _ODD)
+        grams = _mix(grams + words[k : k + len(grams)] + _STEPS[k])
     out, at = [], 0
     for n in counts.tolist():
         if n >= width:
@@ -97,7 +98,7 @@ def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
         elif n:
             h = np.zeros(1, np.uint64)
             for k in range(n):
-                h = _mix(h + words[at + k] + np.uint64(k + 1) * _ODD)
+                h = _mix(h + words[at + k : at + k + 1] + _STEPS[k])
             out.append(_mix(h + np.uint64(n)))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -238,7 +239,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [(n, s.tobytes()) for n, s in zip(b.column("node").to_pylist(), shingle_sets(byte_list(b.column("text"))), strict=True) if fingerprint(s) == n]
             yield pa.record_batch([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "grams"])
 
-    return doc_text(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+    return doc_text(docs).join(checked_side(wanted), "doc_id").select("node", "text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -277,7 +278,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     post = prefixes.select("node", "n", "l", F.explode(F.arrays_zip("grams", "levels")).alias("g")).select("node", "n", "l", F.col("g.grams").alias("gram"), F.col("g.levels").alias("level"))
     lists = post.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
     post = scratch.write(post.join(lists.select("gram"), "gram", "left_semi"), "post")
-    sets = scratch.write(_full_sets(docs, classes.join(post.select("node").distinct(), "node", "left_semi")), "sets")
+    wanted = scratch.write(classes.join(post.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "wanted")
+    sets = scratch.write(_full_sets(docs, wanted), "sets")
 
     links, labels, cost = spark.createDataFrame([], "u long, v long"), None, None
     size = post.count()
