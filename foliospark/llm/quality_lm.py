@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import Scratch, table
+from foliospark.llm._common import Scratch, checked_side, table
 from foliospark.llm.ngram_blocks import count_trigrams, document_losses, log_probabilities, make_blocks
 
 QUANTILE, SLACK, PRIOR = 0.99, 1.15, 50
@@ -35,19 +35,19 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     answers = log_probabilities(counts.select("k3"), counts.select("k3", F.col("chosen").alias("c")), scratch, "loss")
     losses = scratch.write(document_losses(blocks, answers, ["loss"], scratch).withColumn("lang", F.coalesce("lang", F.lit(""))), "losses")
     good = losses.join(trusted, "doc_id", "left_semi")
-    means = good.groupBy("lang").agg((F.sum("loss") / F.sum("n")).alias("mean"))
+    means = scratch.write(good.groupBy("lang").agg((F.sum("loss") / F.sum("n")).alias("mean")), "means")
     overall = good.agg((F.sum("loss") / F.sum("n")).alias("mean")).first()["mean"]
 
     def smooth(df: DataFrame) -> DataFrame:
         mean = F.coalesce("mean", F.lit(overall).cast("double"))
         score = F.exp((F.col("loss") + prior * mean) / (F.col("n") + prior))
-        return df.join(means, "lang", "left").withColumn("perplexity", score)
+        return df.join(checked_side(means), "lang", "left").withColumn("perplexity", score)
 
-    limits = smooth(good).groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
+    limits = scratch.write(smooth(good).groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q")), "limits")
     top = limits.agg(F.max("q").alias("q")).first().q
     limit = F.coalesce("q", F.lit(top).cast("double")) * slack
     return (
-        smooth(losses).join(limits, "lang", "left")
+        smooth(losses).join(checked_side(limits), "lang", "left")
         .select("doc_id", "lang", F.col("n").alias("n_tokens"), "perplexity", limit.alias("threshold"))
         .withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
     )
