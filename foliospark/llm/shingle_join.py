@@ -5,16 +5,17 @@ A document's set holds its distinct 5-word shingles. Sets are similar when
 shingles with the other. With any fixed order of shingles, two similar sets therefore
 share at least ``l`` shingles among the first ``size // 5 + l`` of each, for every ``l``.
 
-Order: shingles whose hash lies below a fixed bound (a quarter of all) come first, the
-rarest of them in front, then all others by hash. So document frequencies are needed
-for a quarter of the shingles only. Steps, none of which holds one key's rows in a task:
+Steps, none of which holds one key's rows in a task:
 
 1. One pass over the texts writes blocks: each document's set size, set fingerprint and
-   candidate shingles (the smallest hashes).
-2. Frequencies: each block sends its distinct shingles once, already counted.
-3. A document stays only if enough of its candidates occur elsewhere. Each one that
-   stays picks its own prefix length ``l`` by estimated cost: longer prefixes read longer
-   lists, but candidates must then share ``l`` shingles before they are verified.
+   those shingles whose hash lies below a fixed bound (a quarter of all; the smallest
+   hashes of short documents beyond it). Each block sends its distinct shingles once,
+   already counted, and learns which of them occur in other documents too. A document
+   stays only if enough of its quarter does, which few do.
+2. For the documents that stay, whole sets are counted in the same way, and the order
+   is by document frequency: the rarest shingles come first.
+3. Each document picks its own prefix length ``l`` by estimated cost: longer prefixes
+   read longer lists, but candidates must then share ``l`` shingles before they are verified.
 4. Links are needed only between components. Rounds of verified pairs with one leader
    per shingle list join large groups of near copies in linear work, as long as they
    save pairs; then all remaining pairs of different components are enumerated with
@@ -28,7 +29,8 @@ rows get the same component. Nodes are 64-bit fingerprints of sets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from foliospark.llm._common import Scratch, byte_list, checked_side, chunks, doc
 from foliospark.llm.components import connected_components
 
 WORDS = 5
-FRONT = np.uint64(1 << 62)  # shingles below come first in the order
+FRONT = np.uint64(1 << 62)  # the first pass looks at the shingles below
 BLOCK_TOKENS = 1_000_000
 VERIFY_COST = 30  # verifying a pair costs so many list entries
 MAX_ROUNDS = 8
@@ -196,50 +198,93 @@ def choose_prefix(df: np.ndarray, spare: int) -> int:
     return int(np.argmin(lists * (1 + VERIFY_COST / level))) + 1
 
 
-def _prefixes(blocks: DataFrame, shared: DataFrame) -> DataFrame:
-    """``node, n, l, gram, level`` of documents that may have a similar one; level is the smallest l whose prefix holds the shingle."""
+def _with_frequencies(blocks: DataFrame, shared: DataFrame, each: Callable, schema: str) -> DataFrame:
+    """Runs ``each(row, frequencies of the row's shingles)``, which gives rows, over the blocks that share any shingle."""
+    names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = KINDS[schema]
         for b in batches:
-            for row in b.to_pylist():
-                grams = np.frombuffer(row["grams"], np.uint64)
-                often = np.concatenate([np.frombuffer(s["grams"], np.uint64) for s in row["shared"]])
-                times = np.concatenate([np.frombuffer(s["df"], np.uint32) for s in row["shared"]]).astype(np.int64)
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i] for c in b.schema.names}
+                grams = np.frombuffer(row["grams"].as_buffer(), np.uint64)
+                told = row["shared"].as_py()
+                often = np.concatenate([np.frombuffer(x["grams"], np.uint64) for x in told])
+                times = np.concatenate([np.frombuffer(x["df"], np.uint32) for x in told]).astype(np.int64)
                 order = np.argsort(often)
                 often, times = often[order], times[order]
                 at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
                 df = np.where(often[at] == grams, times[at], 1)
                 out, stop = [], 0
-                for i, k in zip(row["first"], row["kept"], strict=True):
-                    g, d, stop = grams[stop : stop + k], df[stop : stop + k], stop + k
-                    n = row["n"][i]
-                    spare = _spare(n)
-                    if (d > 1).sum() < k - spare:
-                        continue
-                    front = int(np.searchsorted(g, FRONT))
-                    by = np.concatenate((np.lexsort((g[:front], d[:front])), np.arange(front, k)))
-                    g, d = g[by], d[by]
-                    want = choose_prefix(d.astype(float), spare)
-                    use = np.flatnonzero(d[: spare + want] > 1)
-                    out.append((row["nodes"][i], n, want, g[use].view(np.int64), np.maximum(1, use + 1 - spare)))
-                for at in range(0, len(out), 2000):
-                    cols = list(zip(*out[at : at + 2000], strict=True))
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "n", "l", "grams", "levels"])
-
-    asked = blocks.select("block", "nodes", "n", "first", "kept", "grams").join(shared, "block")
-    return asked.mapInArrow(run, "node long, n int, l int, grams array<long>, levels array<int>").dropDuplicates(["node"])
-
-
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, grams``: whole sets of the wanted documents (``doc_id, node``)."""
+                for place, k in zip(row["first"].as_py(), row["kept"].as_py(), strict=True):
+                    got = each(row["nodes"][place].as_py(), row["n"][place].as_py(), grams[stop : stop + k], df[stop : stop + k])
+                    out += [got] if got else []
+                    stop += k
+                for start in range(0, len(out), 2000):
+                    cols = list(zip(*out[start : start + 2000], strict=True))
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    return blocks.select("block", "nodes", "n", "first", "kept", "grams").join(shared, "block").mapInArrow(run, schema)
+
+
+KINDS = {
+    "node long": (pa.int64(),),
+    "node long, n int, l int, grams array<long>, levels array<int>": (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())),
+}
+
+
+def _stays(node: int, n: int, grams: np.ndarray, df: np.ndarray) -> tuple | None:
+    return (node,) if (df > 1).sum() >= len(grams) - _spare(n) else None
+
+
+def _prefix(node: int, n: int, grams: np.ndarray, df: np.ndarray) -> tuple | None:
+    """Node, size, l, and the shingles of the prefix that occur elsewhere with the smallest l whose prefix holds them."""
+    spare = _spare(n)
+    if (df > 1).sum() < n - spare:
+        return None
+    by = np.lexsort((grams, df))
+    grams, df = grams[by], df[by]
+    want = choose_prefix(df.astype(float), spare)
+    use = np.flatnonzero(df[: spare + want] > 1)
+    return node, n, want, grams[use].view(np.int64), np.maximum(1, use + 1 - spare)
+
+
+def _full_blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Blocks with the whole sets of the wanted documents (``doc_id, node``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, seq, nodes, sizes, grams, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        for b in chain(chunks(batches, 1 << 20), [None]):
+            for node, s in zip(b.column("node").to_pylist(), shingle_sets(byte_list(b.column("text"))), strict=True) if b else ():
+                if fingerprint(s) == node:
+                    nodes.append(node)
+                    sizes.append(len(s))
+                    grams.append(s)
+                    held += len(s)
+            if nodes and (b is None or held > BLOCK_TOKENS):
+                row = [task << 32 | seq, nodes, sizes, list(range(len(nodes))), sizes, np.concatenate(grams).tobytes()]
+                kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.binary()]
+                yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "nodes", "n", "first", "kept", "grams"])
+                seq, nodes, sizes, grams, held = seq + 1, [], [], [], 0
+
+    return doc_text(docs).join(checked_side(wanted), "doc_id").select("node", "text").mapInArrow(run, "block long, nodes array<long>, n array<int>, first array<int>, kept array<int>, grams binary")
+
+
+def _sets_of(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, grams``: the sets of the given nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 1 << 20):
-            found = [(n, s.tobytes()) for n, s in zip(b.column("node").to_pylist(), shingle_sets(byte_list(b.column("text"))), strict=True) if fingerprint(s) == n]
-            yield pa.record_batch([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "grams"])
+        for b in batches:
+            for i in range(b.num_rows):
+                raw, ends = b.column("grams")[i].as_buffer(), np.cumsum([0, *b.column("n")[i].as_py()]) * 8
+                ids = b.column("nodes")[i].values
+                for at in range(0, len(ids), 1000):
+                    cut = ends[at : at + 1001]
+                    yield pa.record_batch([ids.slice(at, 1000), pa.array([raw[x:y].to_pybytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "grams"])
 
-    return doc_text(docs).join(checked_side(wanted), "doc_id").select("node", "text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+    return blocks.select("nodes", "n", "grams").mapInArrow(run, "node long, grams binary").join(checked_side(nodes), "node", "left_semi")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -273,13 +318,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = blocks.select(F.explode(F.arrays_zip("ids", "nodes", "n")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.nodes").alias("node"), F.col("d.n").alias("n"))
     classes = scratch.write(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
     shared = scratch.write(_frequencies(blocks, parts), "shared")
-    prefixes = scratch.write(_prefixes(blocks, shared), "prefixes")
-    scratch.drop(shared)
+    staying = _with_frequencies(blocks, shared, _stays, "node long").distinct()
+    wanted = scratch.write(classes.join(staying, "node", "left_semi").select("doc_id", "node"), "staying")
+    full = scratch.write(_full_blocks(docs, wanted), "full")
+    often = scratch.write(_frequencies(full, parts), "often")
+    prefixes = scratch.write(_with_frequencies(full, often, _prefix, "node long, n int, l int, grams array<long>, levels array<int>").dropDuplicates(["node"]), "prefixes")
+    scratch.drop(shared, often)
     post = prefixes.select("node", "n", "l", F.explode(F.arrays_zip("grams", "levels")).alias("g")).select("node", "n", "l", F.col("g.grams").alias("gram"), F.col("g.levels").alias("level"))
     lists = post.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
     post = scratch.write(post.join(lists.select("gram"), "gram", "left_semi"), "post")
-    wanted = scratch.write(classes.join(post.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "wanted")
-    sets = scratch.write(_full_sets(docs, wanted), "sets")
+    sets = scratch.write(_sets_of(full, scratch.write(post.select("node").distinct(), "nodes")), "sets")
+    scratch.drop(full)
 
     links, labels, cost = spark.createDataFrame([], "u long, v long"), None, None
     size = post.count()
