@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from foliospark.plans import rule_queries  # noqa: F401
+from foliospark.plans.tables import ORACLE, QUERIES
+
+FLAGSHIP = "q_problems"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
