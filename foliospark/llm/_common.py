@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as one chunk.
 CHUNK_BYTES = 4 << 20
+#: Rows in a batch between Spark and a Python worker, unless the session asks for fewer: texts and sets are long rows.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -46,11 +49,18 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size, so that a worker and the executor's direct memory hold a few megabytes of rows at a time."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes one that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
         self._count = 0
@@ -85,6 +95,7 @@ class Scratch:
 
 def doc_text(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and the columns in ``more``; whatever else the table has is pruned."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
@@ -104,6 +115,7 @@ def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = CHUNK_BYTES, colu
             stop = min(n, max(stop, start + 1))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def byte_list(col: pa.Array) -> list[bytes]:

@@ -42,7 +42,7 @@ from foliospark.llm.components import connected_components
 
 WORDS = 5
 FRONT = np.uint64(1 << 62)  # the first pass looks at the shingles below
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 250_000
 VERIFY_COST = 30  # verifying a pair costs so many list entries
 MAX_ROUNDS = 8
 _PRIME, _ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +143,7 @@ def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += k
             nodes.append(node)
             sizes.append(n)
-        if held > BLOCK_TOKENS or len(ids) > 50_000:
+        if held > BLOCK_TOKENS or len(ids) > 10_000:
             yield flush()
             seq += 1
             ids, nodes, sizes, first, kept, grams, seen, held = [], [], [], [], [], [], set(), 0
