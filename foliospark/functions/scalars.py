@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.codes import lookup
-
 # fixed values: French month names with and without accents
 MONTHS = {
     "janvier": "01", "février": "02", "fevrier": "02", "mars": "03", "avril": "04", "mai": "05", "juin": "06", "juillet": "07",
@@ -30,36 +28,22 @@ def parse_decimal(c: Column) -> Column:
     Digits beyond six decimals are rounded; more than fourteen before the separator give null.
     """
     kept = F.regexp_replace(c, r"[^0-9.,\-]", "")
-    bare = F.regexp_replace(kept, "^-+", "")
-    split = r"^(.*)[.,]([^.,]*)$"
-    cut = bare.rlike("[.,]")
-    whole = F.when(cut, F.regexp_replace(F.regexp_extract(bare, split, 1), "[.,]", "")).otherwise(bare)
-    decimals = F.when(cut, F.regexp_extract(bare, split, 2)).otherwise(F.lit(""))
-    number = F.concat(F.when(whole == "", F.lit("0")).otherwise(whole), F.lit("."), F.when(decimals == "", F.lit("0")).otherwise(decimals)).try_cast(DECIMAL)
-    value = F.when(kept.startswith("-"), -number).otherwise(number)
-    return F.when(c.rlike(r"[\n\r]") | ~bare.rlike("[0-9]"), F.lit(None)).otherwise(value).cast(DECIMAL)
+    one_sign = F.regexp_replace(kept, "^-+", "-")
+    one_separator = F.translate(F.regexp_replace(one_sign, "[.,](?=.*[.,])", ""), ",", ".")
+    return F.when(~c.rlike(r"[\n\r]"), one_separator.try_cast(DECIMAL))
 
 
 def parse_date(c: Column) -> Column:
     """The date in one of five shapes; the first shape that fits decides, and an impossible date is null."""
-    s = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    year, month, day = "yyyy", "mm", "dd"
-    shapes = [
-        (r"^(\d{2})(\d{2})(\d{2})\z", {day: 1, month: 2, year: 3}),
-        (r"^(\d{4})-(\d{1,2})-(\d{1,2})\z", {year: 1, month: 2, day: 3}),
-        (r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\z", {day: 1, month: 2, year: 3}),
-        (r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2})\z", {day: 1, month: 2, year: 3}),
-    ]
-    chosen = None
-    for pattern, at in shapes:
-        part = {k: F.regexp_extract(s, pattern, i) for k, i in at.items()}
-        full = F.when(F.length(part[year]) == 2, F.concat(F.lit("20"), part[year])).otherwise(part[year])
-        iso = F.concat_ws("-", full, F.lpad(part[month], 2, "0"), F.lpad(part[day], 2, "0"))
-        chosen = F.when(s.rlike(pattern), iso) if chosen is None else chosen.when(s.rlike(pattern), iso)
-    spelled = r"(?i)^(\d{1,2})\s+([A-Za-zàâäéèêëîïôöùûüÿ]+)\s+(\d{4})\z"
-    named = F.concat_ws("-", F.regexp_extract(s, spelled, 3), lookup(MONTHS, F.lower(F.regexp_extract(s, spelled, 2))), F.lpad(F.regexp_extract(s, spelled, 1), 2, "0"))
-    known = lookup(MONTHS, F.lower(F.regexp_extract(s, spelled, 2))).isNotNull()
-    return F.try_to_date(chosen.when(s.rlike(spelled) & known, named), "yyyy-MM-dd")
+    iso = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    # each shape is turned into y-m-d, which no later pattern matches
+    shapes = [(r"^(\d{2})(\d{2})(\d{2})\z", "20$3-$2-$1"), (r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\z", "$3-$2-$1"), (r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2})\z", "20$3-$2-$1")]
+    for number in sorted(set(MONTHS.values())):
+        names = "|".join(k for k, v in MONTHS.items() if v == number)
+        shapes.append((rf"(?iu)^(\d{{1,2}})\s+(?:{names})\s+(\d{{4}})\z", f"$2-{number}-$1"))
+    for pattern, order in shapes:
+        iso = F.regexp_replace(iso, pattern, order)
+    return F.try_to_date(iso, "yyyy-M-d")
 
 
 def format_ddmmyy(c: Column) -> Column:
@@ -73,8 +57,7 @@ def format_amount(c: Column) -> Column:
 
 def format_quantity(c: Column) -> Column:
     """As an amount, without trailing zeros."""
-    text = F.rtrim(F.rtrim(format_amount(c), F.lit("0")), F.lit("."))
-    return F.when(text == "", F.lit("0")).otherwise(text)
+    return F.rtrim(F.rtrim(format_amount(c), F.lit("0")), F.lit("."))
 
 
 def compact(c: Column) -> Column:

@@ -34,8 +34,7 @@ def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_problems", PROBLEMS + "SELECT doc_id, rule, severity, field FROM p")
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = verified(spark, sf_dir).select("doc_id", F.explode("problems").alias("p"))
-    return found.select("doc_id", "p.rule", "p.severity", "p.field")
+    return verified(spark, sf_dir).select("doc_id", F.inline("problems")).select("doc_id", "rule", "severity", "field")
 
 
 @query("q_line_sum", INV + "SELECT k doc_id, CASE WHEN known = lines THEN 'V7' ELSE 'V6' END rule FROM inv WHERE known > 0 AND (known < lines OR abs(known_sum - ht) > 0.05)")
