@@ -18,8 +18,9 @@ Steps, none of which holds one key's rows in a task:
    read longer lists, but candidates must then share ``l`` shingles before they are verified.
 4. Links are needed only between components. Rounds of verified pairs with one leader
    per shingle list join large groups of near copies in linear work, as long as they
-   save pairs; then all remaining pairs of different components are enumerated with
-   the multi-match test and verified on full sets. Nothing is capped.
+   save pairs. Then the pairs of different components that are left are tested: within
+   groups of long lists by an inverted index, block by block, without a row for each
+   pair; from short lists by a join with the multi-match test. Nothing is capped.
 
 Equal sets are one node from the start. Null or blank texts have no shingle and are linked
 with nothing; with fewer than five words the whole sequence is the one shingle. Repeated
@@ -44,7 +45,11 @@ WORDS = 5
 FRONT = np.uint64(1 << 62)  # the first pass looks at the shingles below
 BLOCK_TOKENS = 250_000
 VERIFY_COST = 30  # verifying a pair costs so many list entries
-MAX_ROUNDS = 8
+MAX_ROUNDS = 3
+#: Longer shingle lists are settled in groups, without a row for each pair.
+LONG_LIST = 64
+#: Shingles of a block of such a group; a task holds two blocks.
+GROUP_TOKENS = 400_000
 _PRIME, _ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, 65, dtype=np.uint64) * _ODD
 
@@ -307,6 +312,51 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").mapInArrow(run, "u long, v long")
 
 
+def _settle_group(rows: pa.Table) -> pa.Table:
+    """Links that join the components among the rows (``node, label, grams``), found by an inverted index over their sets."""
+    order = np.argsort(rows.column("node").to_numpy())
+    rows = rows.take(pa.array(order))
+    nodes, raw = rows.column("node").to_numpy(), rows.column("grams").combine_chunks()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
+    n = np.array([len(x) for x in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), n)
+    by = np.argsort(every, kind="stable")
+    every, owner = every[by], owner[by]
+    _, label = np.unique(rows.column("label").to_numpy(), return_inverse=True)
+    largest = np.bincount(label).argmax()
+    out = []
+    for x in np.flatnonzero(label != largest):  # of any pair to be tested one at least is outside the largest component
+        reach = (100 * np.minimum(n, n[x]) >= 80 * np.maximum(n, n[x])) & (label != label[x])
+        if not reach.any():
+            continue
+        lo, hi = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
+        common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(n))
+        for y in np.flatnonzero(reach & (100 * common >= 80 * (n + n[x] - common))):
+            if label[y] != label[x]:
+                out.append((nodes[x], nodes[y]))
+                label[label == label[y]] = label[x]
+    return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+
+def _long_lists(own: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links from the long lists, and ``node, hot`` (the group of lists that a node is in).
+
+    Lists that share a document form a group. A group's sets are dealt into blocks of
+    bounded size, each pair of blocks is one task, and a task returns only links that
+    join components, so no pair becomes a row.
+    """
+    first = own.groupBy("gram").agg(F.count("*").alias("k"), F.min("node").alias("head")).where(F.col("k") > LONG_LIST)
+    member = own.join(first.select("gram", "head"), "gram").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    hot = scratch.write(connected_components(member, scratch).withColumnRenamed("label", "hot"), "hot")
+    inside = hot.join(own.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n")), "node")
+    size = inside.groupBy("hot").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("long").alias("blocks"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("hot", "blocks")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.col("blocks") == 1) | (j != F.col("block"))))
+    dealt = inside.join(size, "hot").withColumn("block", block).withColumn("j", other)
+    dealt = dealt.select("hot", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"), "node", "label").join(sets, "node")
+    return dealt.groupBy("hot", "i", "j").applyInArrow(lambda t: _settle_group(t.select(["node", "label", "grams"])), "u long, v long"), hot
+
+
 _LENGTHS = "100 * least(n, n2) >= 80 * greatest(n, n2)"
 
 
@@ -343,9 +393,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         settle = turn == MAX_ROUNDS or left <= 2 * size or (cost is not None and left > 0.8 * cost)
         cost = left
         if settle:
-            other = own.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("l").alias("l2"), F.col("level").alias("level2"), F.col("label").alias("label2"))
-            match = own.join(other, "gram").where("node < node2 and label <> label2 and level <= l2 and level2 <= l").where(_LENGTHS)
-            pairs = match.groupBy(F.col("node").alias("u"), F.col("node2").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("l", "l2")).alias("want")).where("c >= want").select("u", "v")
+            joined, hot = _long_lists(own, sets, scratch)
+            links = scratch.write(links.unionByName(joined), "links")
+            held = own.groupBy("gram").agg(F.count("*").alias("k"))
+            own = own.join(hot, "node", "left").join(held, "gram")
+            spare = own.where(F.col("k") > LONG_LIST).groupBy("node").agg(F.count("*").alias("long"))  # lists that the count below leaves out
+            short = own.where(F.col("k") <= LONG_LIST).join(spare, "node", "left").select("gram", "node", "n", "l", "level", "label", F.coalesce("hot", "node").alias("hot"), F.coalesce("long", F.lit(0)).alias("long"))
+            short = scratch.write(short, "short")
+            other = short.select("gram", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "l", "level", "label", "hot", "long")))
+            match = short.join(other, "gram").where("node < node2 and label <> label2 and hot <> hot2 and level <= l2 and level2 <= l").where(_LENGTHS)
+            pairs = match.groupBy(F.col("node").alias("u"), F.col("node2").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("l", "l2")).alias("want"), F.min(F.least("long", "long2")).alias("long")).where(F.col("c") + F.col("long") >= F.col("want")).select("u", "v")
         else:
             lead = own.groupBy("gram").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64(F.lit(turn), "node")).alias("h")).select("gram", F.col("h.node").alias("node2"), F.col("h.n").alias("n2"), F.col("h.label").alias("label2"))
             met = own.join(lead, "gram").where("node <> node2 and label <> label2").where(_LENGTHS).groupBy("node", "node2").agg(F.count("*").alias("c"))
