@@ -105,11 +105,12 @@ def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(k.alias("k"), seen["before"].alias("before"), seen["after"].alias("after"))
 
 
-@query("q_label_suffix", """WITH w AS (SELECT page_id, list_filter(string_split(url, '/'), lambda x: x <> '') w FROM pages), t AS (SELECT page_id, n, array_to_string(w[len(w) - n + 1:], ' ') s FROM w, range(1, 5) r(n) WHERE n <= len(w))
-SELECT page_id, arg_max(s, n) label FROM t WHERE regexp_full_match(s, '[A-Za-zÀ-ÿ .:''/-]{2,40}') GROUP BY 1""")
+@query("q_label_suffix", """WITH w AS (SELECT p_partkey, string_split(p_partkey || ' ' || p_type || CASE WHEN p_partkey % 5 = 0 THEN ' 9' ELSE '' END, ' ') w FROM part), t AS (SELECT p_partkey, n, array_to_string(w[len(w) - n + 1:], ' ') s FROM w, range(1, 5) r(n) WHERE n <= len(w))
+SELECT p_partkey k, arg_max(s, n) label FROM t WHERE regexp_full_match(s, '[A-Za-zÀ-ÿ .:''/-]{2,40}') GROUP BY 1""")
 def label_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = scalars.label_suffix(F.replace("url", F.lit("/"), F.lit(" ")))
-    return read(spark, sf_dir, "pages").select("page_id", label.alias("label")).where("label is not null")
+    key = F.col("p_partkey")
+    snippet = F.concat_ws(" ", key.cast("string"), "p_type", F.when(key % 5 == 0, F.lit("9")))
+    return read(spark, sf_dir, "part").select(key.alias("k"), scalars.label_suffix(snippet).alias("label")).where("label is not null")
 
 
 @query("q_filename_stem", "SELECT page_id, regexp_replace(regexp_extract(url || '/scan.v2.pdf', '[^/]+$'), '[.][^.]*$', '') stem, regexp_replace(regexp_extract(url, '[^/]+$'), '[.][^.]*$', '') own FROM pages")
