@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +42,18 @@ def merge_boxes(boxes: list[tuple[float, ...]], pad: float = 2.0) -> list[tuple[
 
 
 def merge_regions(boxes: DataFrame, pad: float = 2.0) -> DataFrame:
-    """``doc_id, page_no, x0, top, x1, bottom`` of the merged boxes of each page. A page's images are few, so a page is one group."""
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        merged = merge_boxes(list(page[list(BOX)].itertuples(index=False, name=None)), pad)
-        out = pd.DataFrame(merged, columns=list(BOX))
-        out.insert(0, "page_no", page["page_no"].iloc[0])
-        out.insert(0, "doc_id", page["doc_id"].iloc[0])
-        return out
-
-    return boxes.select("doc_id", "page_no", *BOX).groupBy("doc_id", "page_no").applyInPandas(run, "doc_id long, page_no int, x0 double, top double, x1 double, bottom double")
+    """``doc_id, page_no, x0, top, x1, bottom`` of the merged boxes of each page. A page's images are few, so a page is one row for the worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, page_no, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "page_no", "boxes")), strict=True):
+                rows += [(doc_id, page_no, *box) for box in merge_boxes([tuple(x[k] for k in BOX) for x in found], pad)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int32(), *[pa.float64()] * 4)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "page_no", *BOX])
+
+    pages = boxes.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct(*BOX))).alias("boxes"))
+    return pages.mapInArrow(run, "doc_id long, page_no int, x0 double, top double, x1 double, bottom double")
 
 
 def count_chars(boxes: DataFrame, chars: DataFrame, pad: float = 1.5) -> DataFrame:
