@@ -218,6 +218,19 @@ def test_license_scan(spark):
     assert {r.doc_id: r.differences for r in rows}[1] == "+any"
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Licensed under CC BY-NC 4.0.\nAll rights reserved.", {("CC-BY-NC-4.0", 0, 1), ("all-rights-reserved", 1, 2)}),
+        ("Copyright 2020 Foo.\nReleased under the MIT License.\nLicensed under CC BY 4.0.", {("MIT", 1, 2), ("CC-BY-4.0", 2, 3)}),
+        ("\n".join(w for _, w in license_scan.TEMPLATES), {(n, i, i + 1) for i, (n, _) in enumerate(license_scan.TEMPLATES)}),
+        ("All rights reserved.\n" * 900, {("all-rights-reserved", i, i + 1) for i in range(900)}),
+    ],
+)
+def test_license_scan_confirms_every_notice_of_a_block(text, want):
+    assert {h[:3] for h in license_scan.Scanner().scan(text)} == want
+
+
 def brute_kneser_ney(counts, key):
     """Interpolated modified Kneser-Ney over packed trigrams, straight from the definition."""
     def cut(c, table):
