@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -231,6 +232,15 @@ def test_license_scan_confirms_every_notice_of_a_block(text, want):
     assert {h[:3] for h in license_scan.Scanner().scan(text)} == want
 
 
+@pytest.mark.parametrize("width", [20, 40, 60, 78])
+def test_license_scan_reads_wrapped_notices(width):
+    scanner = license_scan.Scanner()
+    for name, wording in license_scan.TEMPLATES:
+        lines = ["prose before it", *textwrap.wrap(wording, width, break_long_words=False, break_on_hyphens=False), "and prose that goes on"]
+        got = scanner.scan("\n * ".join(lines))
+        assert [(h[0], h[1], h[2], h[5]) for h in got] == [(name, 1, len(lines) - 1, "")]
+
+
 def brute_kneser_ney(counts, key):
     """Interpolated modified Kneser-Ney over packed trigrams, straight from the definition."""
     def cut(c, table):
