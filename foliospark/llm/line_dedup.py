@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared by hash after trimming; blank lines are ignored. Every line
-names its first holder (the smallest ``doc_id``), so a line held by a third of all
-documents costs a row a document and no pair among the holders. A later document
-is paired with a first holder if the lines it shares as such are long enough
-together (``min_words``), which common short lines alone are not. Each pair is aligned
-by patience diff over line hashes (anchors: lines that occur once on either side,
+Lines are compared by hash after trimming; blank lines are ignored. From every line
+the shortest run of lines that reaches ``min_words`` is taken, forwards and backwards;
+such runs cover every block of that many words. Every run names its first holder (the
+smallest ``doc_id``), so a run held by a third of all documents costs a row a document
+and no pair among the holders, and every repeated block leads to earlier documents
+that hold each of its runs. A later document is aligned with each of these first holders by
+patience diff over line hashes (anchors: lines that occur once on either side,
 longest increasing run of them, then matches grown outwards from the anchors and the
 ends), and aligned blocks of at least ``min_words`` words go from the later document.
 A line's first holder never loses it. Texts meet their deletions only at the end.
@@ -19,6 +20,7 @@ their own text has of the deleted lines. All other columns are kept; a column
 from __future__ import annotations
 
 import uuid
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -45,6 +47,26 @@ def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
     return hashes, words, at
 
 
+def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """The shortest runs (first line, line after the last) of ``min_words`` words from each line on and up to each line."""
+    found, i, total = [], 0, 0
+    for j, w in enumerate(words):
+        first = i + (total >= min_words)  # runs from earlier lines have ended
+        total += w
+        while total - words[i] >= min_words:
+            total -= words[i]
+            i += 1
+        if total >= min_words:
+            found += [(k, j + 1) for k in (*range(first, i), i)]
+    return found
+
+
+def run_hashes(hashes: list[int], words: list[int], min_words: int) -> list[int]:
+    """Signed hashes of the distinct ``runs`` of a text."""
+    raw = array("q", hashes).tobytes()
+    return list({int.from_bytes(xxhash.xxh3_64_digest(raw[8 * i : 8 * j]), "big", signed=True) for i, j in runs(words, min_words)})
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Aligned common blocks ``(start in a, start in b, length)`` in order."""
     pairs, todo = [], [(0, len(a), 0, len(b))]
@@ -89,21 +111,20 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches):
-        cols = list(zip(*(line_hashes(t) for t in b.column("text").to_pylist()), strict=True))
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        yield pa.record_batch([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "hashes", "words", "at"])
-
-
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, gone``: hashes of the lines to delete, with their places, for each document that has any."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            cols = list(zip(*((h, w, at, run_hashes(h, w, min_words)) for h, w, at in map(line_hashes, b.column("text").to_pylist())), strict=True))
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "hashes", "words", "at", "runs"])
+
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    lines = scratch.write(doc_text(docs).where("doc_id is not null").mapInArrow(_lines, "doc_id long, hashes array<long>, words array<int>, at array<int>"), "lines")
-    each = lines.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("doc_id", F.col("l.hashes").alias("h"), F.col("l.words").alias("w"))
+    lines = scratch.write(doc_text(docs).where("doc_id is not null").mapInArrow(split, "doc_id long, hashes array<long>, words array<int>, at array<int>, runs array<long>"), "lines")
+    each = lines.select("doc_id", F.explode("runs").alias("h"))
     first = each.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
-    pairs = each.join(first, "h").where("owner < doc_id").groupBy("doc_id", "owner").agg(F.sum("w").alias("shared")).where(F.col("shared") >= min_words).select("doc_id", "owner")
-    pairs = scratch.write(pairs, "pairs")
+    pairs = scratch.write(each.join(first, "h").where("owner < doc_id").select("doc_id", "owner").distinct(), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,7 +137,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "at", "h"])
 
     owners = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("theirs"))
-    aligned = pairs.join(owners, "owner").join(lines, "doc_id").select("doc_id", "hashes", "words", "at", "theirs").mapInArrow(run, "doc_id long, at int, h long")
+    aligned = pairs.join(owners, "owner").join(lines.drop("runs"), "doc_id").select("doc_id", "hashes", "words", "at", "theirs").mapInArrow(run, "doc_id long, at int, h long")
     return scratch.write(aligned.groupBy("doc_id").agg(F.collect_set(F.struct("at", "h")).alias("gone")), "gone")
 
 

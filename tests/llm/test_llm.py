@@ -211,6 +211,13 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_finds_the_holder_of_a_whole_block(spark):
+    x, y = prose(random.Random(1), 12), prose(random.Random(2), 12)
+    texts = ["own a\n" + x, "own b\n" + y, f"own c\n{x}\n{y}", f"own d\n{x}\n{y}"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: texts[2], 3: "own d"}
+
+
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES[3][1]
     texts = ["text\nReleased under the MIT License.\nmore", "x\n" + mit.replace("free of charge", "free of any charge"), "Licensed under CC BY-NC 4.0.", "the licence of poets", None, "", "Licensed under the Apache License, Version 2.0."]
