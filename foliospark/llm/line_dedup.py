@@ -9,7 +9,8 @@ that hold each of its runs. A later document is aligned with each of these first
 patience diff over line hashes (anchors: lines that occur once on either side,
 longest increasing run of them, then matches grown outwards from the anchors and the
 ends), and aligned blocks of at least ``min_words`` words go from the later document.
-A line's first holder never loses it. Texts meet their deletions only at the end.
+So do the runs that no alignment in order reaches, because either side repeats
+them or has them elsewhere. A line's first holder never loses it. Texts meet their deletions only at the end.
 
 Null and empty texts have no line and stay as they are. Rows that share a ``doc_id``
 count as one document, are never held against each other, and lose only what
@@ -111,6 +112,22 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def repeats(a: list[int], words: list[int], b: list[int], min_words: int) -> set[int]:
+    """Lines of ``a`` (with their word counts) that are in a block of ``min_words`` words that ``b`` holds too, anywhere."""
+    gone = {i for p, _, n in patience(a, b) if sum(words[p : p + n]) >= min_words for i in range(p, p + n)}
+    if len(gone) == len(a):
+        return gone
+    mine, theirs = array("q", a).tobytes(), array("q", b).tobytes()
+    size, held, start = dict(zip(a, words, strict=True)), set(), 0
+    for stop in [*(i for i, h in enumerate(b) if h not in size), len(b)]:  # no common block goes past a foreign line
+        held.update(theirs[8 * (start + i) : 8 * (start + j)] for i, j in runs([size[h] for h in b[start:stop]], min_words))
+        start = stop + 1
+    for i, j in runs(words, min_words):
+        if mine[8 * i : 8 * j] in held:
+            gone.update(range(i, j))
+    return gone
+
+
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, gone``: hashes of the lines to delete, with their places, for each document that has any."""
 
@@ -130,9 +147,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for b in batches:
             out = []
             for doc_id, a, words, at, theirs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "hashes", "words", "at", "theirs")), strict=True):
-                for p, _, n in patience(a, theirs):
-                    if sum(words[p : p + n]) >= min_words:
-                        out += [(doc_id, at[i], a[i]) for i in range(p, p + n)]
+                out += [(doc_id, at[i], a[i]) for i in repeats(a, words, theirs, min_words)]
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "at", "h"])
 

@@ -211,6 +211,39 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def brute_repeats(texts, min_words):
+    """Places of lines that stand in a block of ``min_words`` words of any earlier document, by comparing all blocks of all lines."""
+    def blocks(text):
+        lines = [(i, x.strip(), len(x.split())) for i, x in enumerate((text or "").split("\n")) if x.strip()]
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(n for _, _, n in lines[i:j]) >= min_words:
+                    yield tuple(x for _, x, _ in lines[i:j]), [at for at, _, _ in lines[i:j]]
+
+    seen, out = set(), {}
+    for doc_id, text in enumerate(texts):
+        mine = list(blocks(text))
+        out[doc_id] = {at for key, places in mine if key in seen for at in places}
+        seen |= {key for key, _ in mine}
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = [prose(rng, n) for n in (1, 2, 3, 5, 6, 7, 8, 9, 12, 25)]
+    texts = []
+    for _ in range(150):
+        parts = [rng.choice(pool) for _ in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 2)):
+            parts += rng.choice([[], texts[-1].split("\n")[:3]]) if texts else []
+        texts.append("\n".join(f" {x} " if rng.random() < 0.2 else x for x in parts))
+    want = brute_repeats(texts, 20)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].text == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i])
+    assert sum(map(len, want.values())) > 100
+
+
 def test_line_dedup_finds_the_holder_of_a_whole_block(spark):
     x, y = prose(random.Random(1), 12), prose(random.Random(2), 12)
     texts = ["own a\n" + x, "own b\n" + y, f"own c\n{x}\n{y}", f"own d\n{x}\n{y}"]
@@ -218,6 +251,13 @@ def test_line_dedup_finds_the_holder_of_a_whole_block(spark):
     assert got == {0: texts[0], 1: texts[1], 2: texts[2], 3: "own d"}
 
 
+def test_repeats_finds_passages_that_either_side_holds_twice():
+    x, y, z, u, v, *p = range(8)
+    for a, b, want in [([x, *p, y, *p, z], [u, *p, v], {1, 2, 3, 5, 6, 7}), ([u, *p, v], [x, *p, y, *p, z], {1, 2, 3}), ([p[1], p[2], x, p[0]], [p[0], x, p[1], p[2]], {0, 1})]:
+        assert line_dedup.repeats(a, [10] * len(a), b, 20) == want
+        assert line_dedup.repeats(a, [1] * len(a), b, 20) == set()
+
+
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES[3][1]
     texts = ["text\nReleased under the MIT License.\nmore", "x\n" + mit.replace("free of charge", "free of any charge"), "Licensed under CC BY-NC 4.0.", "the licence of poets", None, "", "Licensed under the Apache License, Version 2.0."]
