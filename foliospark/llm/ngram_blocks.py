@@ -24,7 +24,7 @@ from foliospark.llm.token_counts import pack_ints, unpack_ints
 BLOCK_BYTES = 8 << 20
 BEGIN, END = 2, 3
 LOW = (1 << 16) - 1
-BLOCK_SCHEMA = "block long, ids array<long>, langs array<string>, n array<long>, lengths array<int>, keys array<long>, index binary, freq binary"
+BLOCK_SCHEMA = "block long, ids array<long>, langs array<string>, n array<long>, repeated array<double>, lengths array<int>, keys array<long>, index binary, freq binary"
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -34,26 +34,33 @@ def trigrams(text: str) -> np.ndarray:
     return a[:-2] << 32 | a[1:-1] << 16 | a[2:]
 
 
+def repeated_share(text: str) -> float:
+    """Share of words that equal the word before them, with ten more words that don't, so that short texts aren't judged by it."""
+    words = text.split()
+    return sum(map(str.__eq__, words, words[1:])) / (len(words) + 10)
+
+
 def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
     for seq, b in enumerate(chunks(batches, BLOCK_BYTES)):
-        grams, freqs, n = [], [], []
+        grams, freqs, n, repeated = [], [], [], []
         for text in b.column("text").to_pylist():
             keys, counts = np.unique(trigrams(text), return_counts=True)
             grams.append(keys)
             freqs.append(counts)
             n.append(int(counts.sum()))
+            repeated.append(repeated_share(text))
         lengths = [len(g) for g in grams]
         keys, index, docs = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
         order = np.argsort(-docs, kind="stable")  # frequent trigrams get small numbers
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         langs = b.column("lang").to_pylist() if "lang" in b.schema.names else [None] * len(n)
-        row = [task << 32 | seq, b.column("doc_id").to_pylist(), langs, n, lengths, keys[order], pack_ints(rank[index]), pack_ints(np.concatenate(freqs))]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "ids", "langs", "n", "lengths", "keys", "index", "freq"])
+        row = [task << 32 | seq, b.column("doc_id").to_pylist(), langs, n, repeated, lengths, keys[order], pack_ints(rank[index]), pack_ints(np.concatenate(freqs))]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "ids", "langs", "n", "repeated", "lengths", "keys", "index", "freq"])
 
 
 def make_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -81,7 +88,7 @@ def count_trigrams(blocks: DataFrame, chosen: DataFrame, scratch: Scratch) -> Da
                 every = np.bincount(index, freq, len(keys)).astype(np.int64)
                 yield pa.record_batch([pa.array(keys), pa.array(some), pa.array(every)], names=["k3", "chosen", "everything"])
 
-    rows = blocks.drop("ids", "langs", "n").join(picked, "block", "left").mapInArrow(run, "k3 long, chosen long, everything long")
+    rows = blocks.drop("ids", "langs", "n", "repeated").join(picked, "block", "left").mapInArrow(run, "k3 long, chosen long, everything long")
     return scratch.write(rows.groupBy("k3").agg(F.sum("chosen").alias("chosen"), F.sum("everything").alias("everything")), "counts")
 
 
@@ -132,7 +139,7 @@ def log_probabilities(keys: DataFrame, counts: DataFrame, scratch: Scratch, out:
 
 
 def document_losses(blocks: DataFrame, answers: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
-    """``doc_id, lang, n`` and, for each name, the sum of that answer over the document's trigrams, negated."""
+    """``doc_id, lang, n, repeated`` and, for each name, the sum of that answer over the document's trigrams, negated."""
     per_key = blocks.select("block", F.posexplode("keys").alias("pos", "k3")).join(answers.select("k3", *names), "k3")
     vectors = scratch.write(per_key.groupBy("block").agg(F.collect_list(F.struct("pos", *(F.col(c).cast("double").alias(c) for c in names))).alias("answer")), "answers")
 
@@ -144,12 +151,12 @@ def document_losses(blocks: DataFrame, answers: DataFrame, names: list[str], scr
                 at = got.field("pos").to_numpy()
                 lengths = np.array(row["lengths"].as_py(), np.int64)
                 index, freq, ends = unpack_ints(row["index"].as_py()), unpack_ints(row["freq"].as_py()), np.cumsum(lengths)
-                cols = [row["ids"].values, row["langs"].values, row["n"].values]
+                cols = [row["ids"].values, row["langs"].values, row["n"].values, row["repeated"].values]
                 for c in names:
                     vector = np.full(len(at), np.nan)
                     vector[at] = got.field(c).to_numpy()
                     sums = np.concatenate(([0.0], np.cumsum(vector[index] * freq)))
                     cols.append(pa.array(sums[ends - lengths] - sums[ends]))
-                yield pa.record_batch(cols, names=["doc_id", "lang", "n", *names])
+                yield pa.record_batch(cols, names=["doc_id", "lang", "n", "repeated", *names])
 
-    return blocks.drop("keys").join(vectors, "block").mapInArrow(run, "doc_id long, lang string, n long" + "".join(f", {c} double" for c in names))
+    return blocks.drop("keys").join(vectors, "block").mapInArrow(run, "doc_id long, lang string, n long, repeated double" + "".join(f", {c} double" for c in names))

@@ -5,10 +5,13 @@ that the labels call good and not toxic. A document is rejected if its perplexit
 exceeds its language's threshold: the given quantile of the trusted documents'
 perplexities in that language, times a slack. So that a few odd characters of a
 short text don't decide, its loss is averaged with ``prior`` tokens of the
-language's mean loss. A language without trusted text takes the threshold of all.
+language's mean loss. A window of three characters cannot see that a document says one
+word over and over, and word trigrams score such text low too, so a document is also
+rejected if more than ``repeated`` of its words equal the word before. A language without trusted text takes the threshold of all.
 
 Null and empty texts consist of the end token alone; they have the prior's
-perplexity and are kept. Without any trusted document everything is kept.
+perplexity and are kept. Without any trusted document
+only repeated words are rejected.
 Repeated rows are scored alike; other columns are passed through untouched.
 """
 
@@ -20,15 +23,15 @@ from pyspark.sql import functions as F
 from foliospark.llm._common import Scratch, checked_side, table
 from foliospark.llm.ngram_blocks import count_trigrams, document_losses, log_probabilities, make_blocks
 
-QUANTILE, SLACK, PRIOR = 0.99, 1.15, 50
+QUANTILE, SLACK, PRIOR, REPEATED = 0.99, 1.15, 50, 0.2
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, prior: int = PRIOR) -> DataFrame:
-    """``doc_id, lang, n_tokens, perplexity, threshold, keep`` for each row."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, prior: int = PRIOR, repeated: float = REPEATED) -> DataFrame:
+    """``doc_id, lang, n_tokens, perplexity, threshold, repeated, keep`` for each row."""
     scratch, trusted = Scratch(docs.sparkSession, "quality-lm"), trusted_ids(labels)
     blocks = make_blocks(docs, scratch)
     counts = count_trigrams(blocks, trusted, scratch)
@@ -48,8 +51,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     limit = F.coalesce("q", F.lit(top).cast("double")) * slack
     return (
         smooth(losses).join(checked_side(limits), "lang", "left")
-        .select("doc_id", "lang", F.col("n").alias("n_tokens"), "perplexity", limit.alias("threshold"))
-        .withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+        .select("doc_id", "lang", F.col("n").alias("n_tokens"), "perplexity", limit.alias("threshold"), "repeated")
+        .withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & (F.col("repeated") <= repeated))
     )
 
 

@@ -326,3 +326,13 @@ def test_quality_perplexity_against_brute_force(spark):
     assert not rows[20].keep and all(rows[i].keep for i in range(20))
     none = quality_lm.classify(frame(spark, texts), labels.where("quality = 5"))
     assert none.where("not keep").count() == 0 and none.count() == len(texts)
+
+
+def test_quality_rejects_words_said_over_and_over(spark):
+    rng = random.Random(9)
+    good = [prose(rng, 60) for _ in range(20)]
+    texts = [*good, "w10 " * 300, good[0] + " " + "w2 " * 200, " ".join(w for w in WORDS[:12] for _ in range(15)), "w1 w1", None]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality_lm.classify(frame(spark, texts), labels).collect()}
+    assert {i for i, r in rows.items() if not r.keep} == {20, 21, 22}
+    assert all(rows[i].perplexity <= rows[i].threshold for i in (20, 22))
