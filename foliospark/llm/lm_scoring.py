@@ -1,7 +1,7 @@
 """Cross-entropy difference: loss under a target model minus loss under a background model, per token.
 
-Both models are interpolated modified Kneser-Ney trigram models of one order, one
-tokenisation and one vocabulary (see ``ngram_blocks``): the target is trained on the
+Both models are interpolated modified Kneser-Ney models of word trigrams, of one order,
+one tokenisation and one vocabulary of hashed words (see ``ngram_blocks``): the target is trained on the
 trusted documents, the background on every document. Every trigram of the corpus
 is resolved under both, so the counts that are gathered grow with the input. A low
 score means text more like the target.
@@ -16,17 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm._common import Scratch, table
-from foliospark.llm.ngram_blocks import count_trigrams, document_losses, log_probabilities, make_blocks
+from foliospark.llm.ngram_blocks import WORD_BITS, WORD_BLOCK_BYTES, count_trigrams, document_losses, log_probabilities, make_blocks, word_trigrams
 from foliospark.llm.quality_lm import trusted_ids
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` (losses in nats a token) for each row; ``target`` lists ``doc_id``."""
     scratch = Scratch(docs.sparkSession, "lm-scoring")
-    blocks = make_blocks(docs, scratch)
+    blocks = make_blocks(docs, scratch, word_trigrams, WORD_BLOCK_BYTES)
     counts = count_trigrams(blocks, target, scratch)
-    answers = log_probabilities(counts.select("k3"), counts.select("k3", F.col("chosen").alias("c")), scratch, "target")
-    answers = log_probabilities(answers, counts.select("k3", F.col("everything").alias("c")), scratch, "background")
+    target_side = log_probabilities(counts.select("k3"), counts.select("k3", F.col("chosen").alias("c")), scratch, "target", WORD_BITS)
+    answers = scratch.write(target_side, "target")  # so that its shuffle files go before the next model's are made
+    both = log_probabilities(answers, counts.select("k3", F.col("everything").alias("c")), scratch, "background", WORD_BITS)
+    answers, done = scratch.write(both, "both"), (counts, answers)
+    scratch.drop(*done)
     losses = document_losses(blocks, answers, ["target", "background"], scratch)
     per = [(F.col(c) / F.col("n")).alias(f"{c}_loss") for c in ("target", "background")]
     return losses.select("doc_id", F.col("n").alias("n_tokens"), *per).withColumn("score", F.col("target_loss") - F.col("background_loss"))

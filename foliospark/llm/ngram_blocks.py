@@ -1,20 +1,21 @@
-"""Character trigrams by blocks of documents, and modified Kneser-Ney models over them.
+"""Trigrams of characters or words by blocks of documents, and modified Kneser-Ney models over them.
 
-Tokens are UTF-16 code units, so a trigram is one 48-bit key and a vocabulary has
-65,536 entries at most. A block is a bounded chunk of text with its dictionary of
+Tokens are UTF-16 code units or words. A trigram is one key of three tokens of ``bits``
+bits: 16 for units, 18 for words, which are hashed into 262,140 numbers. A block is a bounded chunk of text with its dictionary of
 distinct trigrams and a sparse document-by-trigram matrix, written to a scratch
 table. Counts, discounts and probabilities are DataFrame aggregations and joins
-sharded by key; only tables keyed by a single unit (bounded by the vocabulary) are
+sharded by key; only tables keyed by a single token (bounded by the vocabulary) are
 broadcast. Each distinct trigram is resolved once, answers go back to the blocks,
 and per-document sums are products of matrix and answer vector.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ from foliospark.llm._common import Scratch, chunks, doc_text
 from foliospark.llm.token_counts import pack_ints, unpack_ints
 
 BLOCK_BYTES = 8 << 20
+#: Nearly every word trigram is distinct, so blocks of words are smaller.
+WORD_BLOCK_BYTES = 1 << 20
 BEGIN, END = 2, 3
-LOW = (1 << 16) - 1
+BITS, WORD_BITS = 16, 18
 BLOCK_SCHEMA = "block long, ids array<long>, langs array<string>, n array<long>, repeated array<double>, lengths array<int>, keys array<long>, index binary, freq binary"
 
 
@@ -34,20 +37,27 @@ def trigrams(text: str) -> np.ndarray:
     return a[:-2] << 32 | a[1:-1] << 16 | a[2:]
 
 
+def word_trigrams(text: str) -> np.ndarray:
+    """Packed trigrams of the hashed words of a text between two begin tokens and an end token; one for each word and the end."""
+    room = (1 << WORD_BITS) - 4
+    a = np.array([BEGIN, BEGIN, *(4 + xxhash.xxh3_64_intdigest(w) % room for w in text.split()), END], np.int64)
+    return a[:-2] << 2 * WORD_BITS | a[1:-1] << WORD_BITS | a[2:]
+
+
 def repeated_share(text: str) -> float:
     """Share of words that equal the word before them, with ten more words that don't, so that short texts aren't judged by it."""
     words = text.split()
     return sum(map(str.__eq__, words, words[1:])) / (len(words) + 10)
 
 
-def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _make_blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], np.ndarray], max_bytes: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
-    for seq, b in enumerate(chunks(batches, BLOCK_BYTES)):
+    for seq, b in enumerate(chunks(batches, max_bytes)):
         grams, freqs, n, repeated = [], [], [], []
         for text in b.column("text").to_pylist():
-            keys, counts = np.unique(trigrams(text), return_counts=True)
+            keys, counts = np.unique(split(text), return_counts=True)
             grams.append(keys)
             freqs.append(counts)
             n.append(int(counts.sum()))
@@ -63,9 +73,9 @@ def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "ids", "langs", "n", "repeated", "lengths", "keys", "index", "freq"])
 
 
-def make_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def make_blocks(docs: DataFrame, scratch: Scratch, split: Callable[[str], np.ndarray] = trigrams, max_bytes: int = BLOCK_BYTES) -> DataFrame:
     lang = [F.col("lang").cast("string").alias("lang")] if "lang" in docs.columns else []
-    return scratch.write(doc_text(docs, *lang).mapInArrow(_make_blocks, BLOCK_SCHEMA), "blocks")
+    return scratch.write(doc_text(docs, *lang).mapInArrow(lambda batches: _make_blocks(batches, split, max_bytes), BLOCK_SCHEMA), "blocks")
 
 
 def rows_of(blocks: DataFrame) -> DataFrame:
@@ -79,11 +89,12 @@ def count_trigrams(blocks: DataFrame, chosen: DataFrame, scratch: Scratch) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                keys, lengths = np.array(row["keys"], np.int64), np.array(row["lengths"], np.int64)
-                index, freq = unpack_ints(row["index"]), unpack_ints(row["freq"])
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i] for c in b.schema.names}
+                keys, lengths = row["keys"].values.to_numpy(), row["lengths"].values.to_numpy()
+                index, freq = unpack_ints(row["index"].as_py()), unpack_ints(row["freq"].as_py())
                 weight = np.zeros(len(lengths))
-                weight[row["picked"] or []] = 1
+                weight[row["picked"].as_py() or []] = 1
                 some = np.bincount(index, freq * np.repeat(weight, lengths), len(keys)).astype(np.int64)
                 every = np.bincount(index, freq, len(keys)).astype(np.int64)
                 yield pa.record_batch([pa.array(keys), pa.array(some), pa.array(every)], names=["k3", "chosen", "everything"])
@@ -105,33 +116,34 @@ def _cut(c: Column, d: tuple[float, float, float]) -> Column:
     return F.when(c == 1, F.lit(d[0])).when(c == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
 
 
-def _contexts(counts: DataFrame, key: str, d: tuple[float, float, float], name: str) -> DataFrame:
+def _contexts(counts: DataFrame, key: str, d: tuple[float, float, float], name: str, bits: int) -> DataFrame:
     """Total count and back-off mass of each context."""
     mass = F.sum(_cut(F.col("c"), d))
-    return counts.groupBy(F.shiftright(key, 16).alias(name)).agg(F.sum("c").alias(f"{name}_total"), mass.alias(f"{name}_mass"))
+    return counts.groupBy(F.shiftright(key, bits).alias(name)).agg(F.sum("c").alias(f"{name}_total"), mass.alias(f"{name}_mass"))
 
 
-def log_probabilities(keys: DataFrame, counts: DataFrame, scratch: Scratch, out: str) -> DataFrame:
+def log_probabilities(keys: DataFrame, counts: DataFrame, scratch: Scratch, out: str, bits: int = BITS) -> DataFrame:
     """``keys`` (with ``k3``) and ``out``: the log of each trigram's interpolated modified Kneser-Ney probability under ``counts`` (``k3, c``)."""
+    low, low2 = (1 << bits) - 1, (1 << 2 * bits) - 1
     c3 = counts.where("c > 0")
-    c2 = scratch.write(c3.groupBy(F.col("k3").bitwiseAND(F.lit((1 << 32) - 1)).alias("k2")).agg(F.count("*").alias("c")), "bigrams")
-    c1 = c2.groupBy(F.col("k2").bitwiseAND(F.lit(LOW)).alias("w")).agg(F.count("*").alias("c"))
+    c2 = scratch.write(c3.groupBy(F.col("k3").bitwiseAND(F.lit(low2)).alias("k2")).agg(F.count("*").alias("c")), "bigrams")
+    c1 = c2.groupBy(F.col("k2").bitwiseAND(F.lit(low)).alias("w")).agg(F.count("*").alias("c"))
     d3, d2, d1 = discounts(c3), discounts(c2), discounts(c1)
     all1 = c1.agg(F.coalesce(F.sum("c"), F.lit(1)).alias("total"), F.coalesce(F.sum(_cut(F.col("c"), d1)), F.lit(1.0)).alias("mass"), F.count("*").alias("n")).first()
     floor = all1.mass / all1.total / (all1.n + 1)  # the share of an unknown unit
     p1 = c1.select("w", ((F.col("c") - _cut(F.col("c"), d1)) / F.lit(all1.total) + F.lit(floor)).alias("p1"))
-    h2, h3 = _contexts(c2, "k2", d2, "h2"), _contexts(c3, "k3", d3, "h3")
+    h2, h3 = _contexts(c2, "k2", d2, "h2", bits), _contexts(c3, "k3", d3, "h3", bits)
 
     def blend(c: str, h: str, d: tuple[float, float, float], lower: Column) -> Column:
         own = F.coalesce((F.col(c) - _cut(F.col(c), d)) / F.col(f"{h}_total"), F.lit(0.0))
         return F.when(F.col(f"{h}_total").isNull(), lower).otherwise(own + F.col(f"{h}_mass") / F.col(f"{h}_total") * lower)
 
     asked = keys.select(
-        *keys.columns, F.col("k3").bitwiseAND(F.lit((1 << 32) - 1)).alias("k2"), F.shiftright("k3", 16).alias("h3"),
-        F.shiftright("k3", 16).bitwiseAND(F.lit(LOW)).alias("h2"), F.col("k3").bitwiseAND(F.lit(LOW)).alias("w"),
+        *keys.columns, F.col("k3").bitwiseAND(F.lit(low2)).alias("k2"), F.shiftright("k3", bits).alias("h3"),
+        F.shiftright("k3", bits).bitwiseAND(F.lit(low)).alias("h2"), F.col("k3").bitwiseAND(F.lit(low)).alias("w"),
     )
     joined = (
-        asked.join(F.broadcast(p1), "w", "left").join(F.broadcast(h2), "h2", "left")  # 65,536 rows at most
+        asked.join(F.broadcast(p1), "w", "left").join(F.broadcast(h2), "h2", "left")  # 2 ** bits rows at most
         .join(c2.withColumnRenamed("c", "c2"), "k2", "left").join(h3, "h3", "left").join(c3.withColumnRenamed("c", "c3"), "k3", "left")
     )
     p2 = blend("c2", "h2", d2, F.coalesce("p1", F.lit(floor)))

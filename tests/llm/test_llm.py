@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliospark.llm import decontaminate, flac, license_scan, line_dedup, ngram_blocks, piece_codec, quality_lm, sharding, shingle_join, token_counts
+from foliospark.llm import decontaminate, flac, license_scan, line_dedup, lm_scoring, ngram_blocks, piece_codec, quality_lm, sharding, shingle_join, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block long, node long, label long"
 WORDS = [f"w{i}" for i in range(60)]
@@ -336,3 +336,45 @@ def test_quality_rejects_words_said_over_and_over(spark):
     rows = {r.doc_id: r for r in quality_lm.classify(frame(spark, texts), labels).collect()}
     assert {i for i, r in rows.items() if not r.keep} == {20, 21, 22}
     assert all(rows[i].perplexity <= rows[i].threshold for i in (20, 22))
+
+
+def brute_word_losses(texts, trained):
+    """Mean loss of each text under an interpolated modified Kneser-Ney model of the words of the trained ones, from tuples of words."""
+    def grams(text):
+        w = ["<", "<", *(text or "").split(), ">"]
+        return list(zip(w, w[1:], w[2:], strict=False))
+
+    def discounts(table):
+        n = [sum(v == i for v in table.values()) for i in (1, 2, 3, 4)]
+        if not all(n):
+            return [0.5] * 3
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(d, 0.05), j - 0.05) for j, d in ((1, 1 - 2 * y * n[1] / n[0]), (2, 2 - 3 * y * n[2] / n[1]), (3, 3 - 4 * y * n[3] / n[2]))]
+
+    three = Counter(g for i in trained for g in grams(texts[i]))
+    two = Counter(g[1:] for g in three)
+    one = Counter(g[1:] for g in two)
+    d1, total = discounts(one), sum(one.values())
+    floor = sum(d1[min(c, 3) - 1] for c in one.values()) / total / (len(one) + 1)
+
+    def p(gram):
+        out = floor + ((one[gram[2:]] - d1[min(one[gram[2:]], 3) - 1]) / total if gram[2:] in one else 0)
+        for table, g in ((two, gram[1:]), (three, gram)):
+            d, same = discounts(table), {x: c for x, c in table.items() if x[:-1] == g[:-1]}
+            if same:
+                t = sum(same.values())
+                out = (table[g] - d[min(table[g], 3) - 1] if g in table else 0) / t + sum(d[min(c, 3) - 1] for c in same.values()) / t * out
+        return out
+
+    return [-sum(math.log(p(g)) for g in grams(t)) / len(grams(t)) for t in texts]
+
+
+def test_cross_entropy_difference_of_words_against_brute_force(spark):
+    rng = random.Random(10)
+    texts = [prose(rng, rng.randint(1, 40)) for _ in range(25)] + ["other wording", None, "", "w1 w2 w3"]
+    assert len({int(ngram_blocks.word_trigrams(w)[0]) for w in WORDS}) == len(WORDS)
+    rows = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), spark.createDataFrame([(i,) for i in range(12)], "doc_id long")).collect()}
+    target, background = brute_word_losses(texts, range(12)), brute_word_losses(texts, range(len(texts)))
+    for i, t in enumerate(texts):
+        assert rows[i].n_tokens == len((t or "").split()) + 1
+        assert (rows[i].target_loss, rows[i].background_loss, rows[i].score) == pytest.approx((target[i], background[i], target[i] - background[i]), rel=1e-9, abs=1e-9)
