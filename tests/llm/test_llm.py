@@ -378,3 +378,18 @@ def test_cross_entropy_difference_of_words_against_brute_force(spark):
     for i, t in enumerate(texts):
         assert rows[i].n_tokens == len((t or "").split()) + 1
         assert (rows[i].target_loss, rows[i].background_loss, rows[i].score) == pytest.approx((target[i], background[i], target[i] - background[i]), rel=1e-9, abs=1e-9)
+
+
+def test_piece_codec_verifies_every_new_word(monkeypatch):
+    codec = piece_codec.PieceCodec(piece_codec.model_path())
+    right = codec.encode(["some words here", "some more"])
+    library = codec.other
+
+    class Differs:
+        def encode(self, texts, **options):
+            return [ids[::-1] + [5] if "odd" in t else ids for t, ids in zip(texts, library.encode(texts, **options), strict=True)]
+
+    monkeypatch.setattr(codec, "other", Differs())
+    assert [x.tolist() for x in codec.encode(["some words here", "some more"])] == [x.tolist() for x in right]
+    with pytest.raises(ValueError, match="differ"):
+        codec.encode(["some odd words"])
