@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 #: Rows in a batch between Spark and a Python worker, unless the session asks for fewer: texts and sets are long rows.
 BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes in such a batch, unless the session asks for fewer.
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -53,6 +56,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Lower the session's batch size, so that a worker and the executor's direct memory hold a few megabytes of rows at a time."""
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
 
 class Scratch:
@@ -115,7 +119,14 @@ def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = CHUNK_BYTES, colu
             stop = min(n, max(stop, start + 1))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are reused, and what one operator needed at its peak would stay with them."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def byte_list(col: pa.Array) -> list[bytes]:

@@ -382,14 +382,26 @@ def test_cross_entropy_difference_of_words_against_brute_force(spark):
 
 def test_piece_codec_verifies_every_new_word(monkeypatch):
     codec = piece_codec.PieceCodec(piece_codec.model_path())
-    right = codec.encode(["some words here", "some more"])
+    right, agreed = codec.encode(["some words here", "some more"])
+    assert agreed == [True, True]
     library = codec.other
 
     class Differs:
         def encode(self, texts, **options):
-            return [ids[::-1] + [5] if "odd" in t else ids for t, ids in zip(texts, library.encode(texts, **options), strict=True)]
+            if isinstance(texts, str):
+                return self.encode([texts])[0]
+            return [[*ids, 5] if "odd" in t else ids for t, ids in zip(texts, library.encode(texts, **options), strict=True)]
 
     monkeypatch.setattr(codec, "other", Differs())
-    assert [x.tolist() for x in codec.encode(["some words here", "some more"])] == [x.tolist() for x in right]
-    with pytest.raises(ValueError, match="differ"):
-        codec.encode(["some odd words"])
+    again, agreed = codec.encode(["some words here", "some more", "some odd words"])
+    assert [x.tolist() for x in again[:2]] == [x.tolist() for x in right] and agreed == [True, True, False]
+    assert again[2].tolist() == [*library.encode("some odd"), 5, *library.encode("words")]
+
+
+def test_piece_codec_lets_words_go(monkeypatch):
+    monkeypatch.setattr(piece_codec, "KNOWN_WORDS", 5)
+    codec, rng = piece_codec.PieceCodec(piece_codec.model_path()), random.Random(3)
+    for _ in range(30):
+        texts = [prose(rng, 6) for _ in range(3)]
+        assert [x.tolist() for x in codec.encode(texts)[0]] == codec.other.encode(texts)
+        assert len(codec.known) <= 5 and len(codec.older) <= 5 + 18
