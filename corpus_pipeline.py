@@ -45,7 +45,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, restored, ids``: what is left, encoded."""
+    """``doc_id, n_tokens, ids_crc32, restored, agreed, ids``: what is left, encoded."""
     return piece_codec.encode_documents(docs, piece_codec.model_path())
 
 
