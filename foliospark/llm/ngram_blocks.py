@@ -1,7 +1,6 @@
-"""Trigrams of characters or words by blocks of documents, and modified Kneser-Ney models over them.
+"""Trigrams of characters by blocks of documents, and a modified Kneser-Ney model over them.
 
-Tokens are UTF-16 code units or words. A trigram is one key of three tokens of ``bits``
-bits: 16 for units, 18 for words, which are hashed into 262,140 numbers. A block is a bounded chunk of text with its dictionary of
+Tokens are UTF-16 code units; a trigram is one key of three. A block is a bounded chunk of text with its dictionary of
 distinct trigrams and a sparse document-by-trigram matrix, written to a scratch
 table. Counts, discounts and probabilities are DataFrame aggregations and joins
 sharded by key; only tables keyed by a single token (bounded by the vocabulary) are
@@ -11,11 +10,10 @@ and per-document sums are products of matrix and answer vector.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +21,8 @@ from foliospark.llm._common import Scratch, chunks, doc_text
 from foliospark.llm.token_counts import pack_ints, unpack_ints
 
 BLOCK_BYTES = 8 << 20
-#: Nearly every word trigram is distinct, so blocks of words are smaller.
-WORD_BLOCK_BYTES = 1 << 20
 BEGIN, END = 2, 3
-BITS, WORD_BITS = 16, 18
+BITS = 16
 BLOCK_SCHEMA = "block long, ids array<long>, langs array<string>, n array<long>, repeated array<double>, lengths array<int>, keys array<long>, index binary, freq binary"
 
 
@@ -37,27 +33,20 @@ def trigrams(text: str) -> np.ndarray:
     return a[:-2] << 32 | a[1:-1] << 16 | a[2:]
 
 
-def word_trigrams(text: str) -> np.ndarray:
-    """Packed trigrams of the hashed words of a text between two begin tokens and an end token; one for each word and the end."""
-    room = (1 << WORD_BITS) - 4
-    a = np.array([BEGIN, BEGIN, *(4 + xxhash.xxh3_64_intdigest(w) % room for w in text.split()), END], np.int64)
-    return a[:-2] << 2 * WORD_BITS | a[1:-1] << WORD_BITS | a[2:]
-
-
 def repeated_share(text: str) -> float:
     """Share of words that equal the word before them, with ten more words that don't, so that short texts aren't judged by it."""
     words = text.split()
     return sum(map(str.__eq__, words, words[1:])) / (len(words) + 10)
 
 
-def _make_blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], np.ndarray], max_bytes: int) -> Iterator[pa.RecordBatch]:
+def _make_blocks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
     for seq, b in enumerate(chunks(batches, max_bytes)):
         grams, freqs, n, repeated = [], [], [], []
         for text in b.column("text").to_pylist():
-            keys, counts = np.unique(split(text), return_counts=True)
+            keys, counts = np.unique(trigrams(text), return_counts=True)
             grams.append(keys)
             freqs.append(counts)
             n.append(int(counts.sum()))
@@ -73,9 +62,9 @@ def _make_blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], np.nd
         yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "ids", "langs", "n", "repeated", "lengths", "keys", "index", "freq"])
 
 
-def make_blocks(docs: DataFrame, scratch: Scratch, split: Callable[[str], np.ndarray] = trigrams, max_bytes: int = BLOCK_BYTES) -> DataFrame:
+def make_blocks(docs: DataFrame, scratch: Scratch, max_bytes: int = BLOCK_BYTES) -> DataFrame:
     lang = [F.col("lang").cast("string").alias("lang")] if "lang" in docs.columns else []
-    return scratch.write(doc_text(docs, *lang).mapInArrow(lambda batches: _make_blocks(batches, split, max_bytes), BLOCK_SCHEMA), "blocks")
+    return scratch.write(doc_text(docs, *lang).mapInArrow(lambda batches: _make_blocks(batches, max_bytes), BLOCK_SCHEMA), "blocks")
 
 
 def rows_of(blocks: DataFrame) -> DataFrame:

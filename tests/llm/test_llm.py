@@ -339,45 +339,59 @@ def test_quality_rejects_words_said_over_and_over(spark):
 
 
 def brute_word_losses(texts, trained):
-    """Mean loss of each text under an interpolated modified Kneser-Ney model of the words of the trained ones, from tuples of words."""
+    """Mean loss of each text under an interpolated modified Kneser-Ney model of the word pairs of the other trained texts, from tuples of words."""
     def grams(text):
-        w = ["<", "<", *(text or "").split(), ">"]
-        return list(zip(w, w[1:], w[2:], strict=False))
+        w = ["<", *re.findall("[^\x20\x09-\x0D]+", (text or "").lower()), ">"]
+        return list(zip(w, w[1:], strict=False))
 
     def discounts(table):
         n = [sum(v == i for v in table.values()) for i in (1, 2, 3, 4)]
         if not all(n):
-            return [0.5] * 3
+            return [0, 0.5, 0.5, 0.5]
         y = n[0] / (n[0] + 2 * n[1])
-        return [min(max(d, 0.05), j - 0.05) for j, d in ((1, 1 - 2 * y * n[1] / n[0]), (2, 2 - 3 * y * n[2] / n[1]), (3, 3 - 4 * y * n[3] / n[2]))]
-
-    three = Counter(g for i in trained for g in grams(texts[i]))
-    two = Counter(g[1:] for g in three)
-    one = Counter(g[1:] for g in two)
-    d1, total = discounts(one), sum(one.values())
-    floor = sum(d1[min(c, 3) - 1] for c in one.values()) / total / (len(one) + 1)
-
-    def p(gram):
-        out = floor + ((one[gram[2:]] - d1[min(one[gram[2:]], 3) - 1]) / total if gram[2:] in one else 0)
-        for table, g in ((two, gram[1:]), (three, gram)):
-            d, same = discounts(table), {x: c for x, c in table.items() if x[:-1] == g[:-1]}
+        return [0, *(min(max(d, 0.05), j - 0.05) for j, d in ((1, 1 - 2 * y * n[1] / n[0]), (2, 2 - 3 * y * n[2] / n[1]), (3, 3 - 4 * y * n[3] / n[2])))]
+
+    def model(some):
+        two = Counter(g for i in some for g in grams(texts[i]))
+        return two, Counter(w for _, w in two)
+
+    d2, d1 = (discounts(x) for x in model(trained))
+    words = len({w for t in texts for _, w in grams(t)}) + 1
+    out = []
+    for i, text in enumerate(texts):
+        two, one = model([j for j in trained if j != i])
+        total = sum(one.values())
+        loss = 0
+        for h, w in grams(text):
+            p = (one[w] - d1[min(one[w], 3)] + sum(d1[min(c, 3)] for c in one.values()) / words) / total if total else 1 / words
+            same = {g: c for g, c in two.items() if g[0] == h}
             if same:
-                t = sum(same.values())
-                out = (table[g] - d[min(table[g], 3) - 1] if g in table else 0) / t + sum(d[min(c, 3) - 1] for c in same.values()) / t * out
-        return out
-
-    return [-sum(math.log(p(g)) for g in grams(t)) / len(grams(t)) for t in texts]
+                c = two[h, w]
+                p = (c - d2[min(c, 3)] + sum(d2[min(x, 3)] for x in same.values()) * p) / sum(same.values())
+            loss -= math.log(p)
+        out.append(loss / len(grams(text)))
+    return out
 
 
-def test_cross_entropy_difference_of_words_against_brute_force(spark):
+def test_cross_entropy_difference_of_words_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", 150)
     rng = random.Random(10)
-    texts = [prose(rng, rng.randint(1, 40)) for _ in range(25)] + ["other wording", None, "", "w1 w2 w3"]
-    assert len({int(ngram_blocks.word_trigrams(w)[0]) for w in WORDS}) == len(WORDS)
-    rows = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), spark.createDataFrame([(i,) for i in range(12)], "doc_id long")).collect()}
-    target, background = brute_word_losses(texts, range(12)), brute_word_losses(texts, range(len(texts)))
+    texts = [prose(rng, rng.randint(1, 40)) for _ in range(25)] + ["other Wording\tother", None, "", "w1 w2 w3", "w1 w2 w3", "said only here", prose(rng, 900)]
+    keys, lengths = lm_scoring.bigrams([w.encode() for w in WORDS])
+    assert len(set((keys & lm_scoring.MASK).tolist())) == len(WORDS) + 1 and set(lengths.tolist()) == {2}
+    rows = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), spark.createDataFrame([(i,) for i in (*range(12), 0, None, 28)], "doc_id long")).collect()}
+    target, background = brute_word_losses(texts, [*range(12), 28]), brute_word_losses(texts, range(len(texts)))
     for i, t in enumerate(texts):
         assert rows[i].n_tokens == len((t or "").split()) + 1
         assert (rows[i].target_loss, rows[i].background_loss, rows[i].score) == pytest.approx((target[i], background[i], target[i] - background[i]), rel=1e-9, abs=1e-9)
+    assert rows[28].background_loss < rows[30].background_loss  # said twice, said once
+
+
+def test_cross_entropy_difference_without_target_or_documents(spark):
+    nobody = spark.createDataFrame([], "doc_id long")
+    rows = lm_scoring.score(frame(spark, ["a b", None, "a b"]), nobody).collect()
+    assert len(rows) == 3 and all(r.score is None and r.target_loss is None and r.background_loss > 0 for r in rows)
+    assert lm_scoring.score(frame(spark, []), nobody).count() == 0
 
 
 def test_piece_codec_verifies_every_new_word(monkeypatch):
