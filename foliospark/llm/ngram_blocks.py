@@ -139,10 +139,10 @@ def log_probabilities(keys: DataFrame, counts: DataFrame, scratch: Scratch, out:
     return joined.select(*keys.columns, F.log(blend("c3", "h3", d3, p2)).alias(out))
 
 
-def document_losses(blocks: DataFrame, answers: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
+def document_losses(blocks: DataFrame, answers: DataFrame, names: list[str]) -> DataFrame:
     """``doc_id, lang, n, repeated`` and, for each name, the sum of that answer over the document's trigrams, negated."""
     per_key = blocks.select("block", F.posexplode("keys").alias("pos", "k3")).join(answers.select("k3", *names), "k3")
-    vectors = scratch.write(per_key.groupBy("block").agg(F.collect_list(F.struct("pos", *(F.col(c).cast("double").alias(c) for c in names))).alias("answer")), "answers")
+    vectors = per_key.groupBy("block").agg(F.collect_list(F.struct("pos", *(F.col(c).cast("double").alias(c) for c in names))).alias("answer"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -36,7 +36,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     blocks = make_blocks(docs, scratch)
     counts = count_trigrams(blocks, trusted, scratch)
     answers = log_probabilities(counts.select("k3"), counts.select("k3", F.col("chosen").alias("c")), scratch, "loss")
-    losses = scratch.write(document_losses(blocks, answers, ["loss"], scratch).withColumn("lang", F.coalesce("lang", F.lit(""))), "losses")
+    losses = scratch.write(document_losses(blocks, answers, ["loss"]).withColumn("lang", F.coalesce("lang", F.lit(""))), "losses")
     good = losses.join(trusted, "doc_id", "left_semi")
     means = scratch.write(good.groupBy("lang").agg((F.sum("loss") / F.sum("n")).alias("mean")), "means")
     overall = good.agg((F.sum("loss") / F.sum("n")).alias("mean")).first()["mean"]

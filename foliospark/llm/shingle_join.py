@@ -345,8 +345,8 @@ def _long_lists(own: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[Data
     bounded size, each pair of blocks is one task, and a task returns only links that
     join components, so no pair becomes a row.
     """
-    first = own.groupBy("gram").agg(F.count("*").alias("k"), F.min("node").alias("head")).where(F.col("k") > LONG_LIST)
-    member = own.join(first.select("gram", "head"), "gram").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    long = own.where(F.col("k") > LONG_LIST)
+    member = long.join(long.groupBy("gram").agg(F.min("node").alias("head")), "gram").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     hot = scratch.write(connected_components(member, scratch).withColumnRenamed("label", "hot"), "hot")
     inside = hot.join(own.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n")), "node")
     size = inside.groupBy("hot").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("long").alias("blocks"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("hot", "blocks")
@@ -366,14 +366,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch, parts = Scratch(spark, "shingle-join"), shuffle_partitions(spark)
     blocks = scratch.write(doc_text(docs).mapInArrow(_make_blocks, "block long, ids array<long>, nodes array<long>, n array<int>, first array<int>, kept array<int>, grams binary"), "blocks")
     rows = blocks.select(F.explode(F.arrays_zip("ids", "nodes", "n")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.nodes").alias("node"), F.col("d.n").alias("n"))
-    classes = scratch.write(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    shared = scratch.write(_frequencies(blocks, parts), "shared")
-    staying = _with_frequencies(blocks, shared, _stays, "node long").distinct()
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    staying = _with_frequencies(blocks, _frequencies(blocks, parts), _stays, "node long").distinct()
     wanted = scratch.write(classes.join(staying, "node", "left_semi").select("doc_id", "node"), "staying")
     full = scratch.write(_full_blocks(docs, wanted), "full")
-    often = scratch.write(_frequencies(full, parts), "often")
-    prefixes = scratch.write(_with_frequencies(full, often, _prefix, "node long, n int, l int, grams array<long>, levels array<int>").dropDuplicates(["node"]), "prefixes")
-    scratch.drop(shared, often)
+    prefixes = scratch.write(_with_frequencies(full, _frequencies(full, parts), _prefix, "node long, n int, l int, grams array<long>, levels array<int>").dropDuplicates(["node"]), "prefixes")
     post = prefixes.select("node", "n", "l", F.explode(F.arrays_zip("grams", "levels")).alias("g")).select("node", "n", "l", F.col("g.grams").alias("gram"), F.col("g.levels").alias("level"))
     lists = post.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
     post = scratch.write(post.join(lists.select("gram"), "gram", "left_semi"), "post")
@@ -385,18 +382,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for turn in range(MAX_ROUNDS + 1):
         own = post.withColumn("label", F.col("node")) if labels is None else post.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = own.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same")).where("k * k > same")
-        open_ = scratch.write(open_, "open")
-        left = open_.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.lit(0.0)).alias("pairs")).first().pairs
+        own = scratch.write(own.join(open_, "gram"), "own")
+        left = own.agg(F.coalesce(F.sum((F.col("k") - F.col("same") / F.col("k")) / 2), F.lit(0.0)).alias("pairs")).first().pairs  # each of a list's k rows has its share
         if not left:
             break
-        own = scratch.write(own.join(open_.select("gram"), "gram", "left_semi"), "own")
         settle = turn == MAX_ROUNDS or left <= 2 * size or (cost is not None and left > 0.8 * cost)
         cost = left
         if settle:
             joined, hot = _long_lists(own, sets, scratch)
             links = scratch.write(links.unionByName(joined), "links")
-            held = own.groupBy("gram").agg(F.count("*").alias("k"))
-            own = own.join(hot, "node", "left").join(held, "gram")
+            own = own.join(hot, "node", "left")
             spare = own.where(F.col("k") > LONG_LIST).groupBy("node").agg(F.count("*").alias("long"))  # lists that the count below leaves out
             short = own.where(F.col("k") <= LONG_LIST).join(spare, "node", "left").select("gram", "node", "n", "l", "level", "label", F.coalesce("hot", "node").alias("hot"), F.coalesce("long", F.lit(0)).alias("long"))
             short = scratch.write(short, "short")
@@ -407,7 +402,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             lead = own.groupBy("gram").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64(F.lit(turn), "node")).alias("h")).select("gram", F.col("h.node").alias("node2"), F.col("h.n").alias("n2"), F.col("h.label").alias("label2"))
             met = own.join(lead, "gram").where("node <> node2 and label <> label2").where(_LENGTHS).groupBy("node", "node2").agg(F.count("*").alias("c"))
             pairs = met.groupBy(F.col("node").alias("u")).agg(F.max_by("node2", F.struct("c", "node2")).alias("v"))
-        links = scratch.write(links.unionByName(_verify(scratch.write(pairs, "pairs"), sets)), "links")
+        links = scratch.write(links.unionByName(_verify(pairs, sets)), "links")
         labels = scratch.write(connected_components(links, scratch), "labels")
         if settle:
             break
