@@ -97,7 +97,7 @@ def splice(pages: DataFrame, bands: DataFrame, chars: DataFrame) -> DataFrame:
     """
     body = chars.groupBy("doc_id", "page_no").agg(F.min("top").alias("body_top"), F.max("bottom").alias("body_bottom"))
     slot = F.when(F.col("body_top").isNull() | (F.col("bottom") <= F.col("body_top")), 0).when(F.col("top") >= F.col("body_bottom"), 3).otherwise(2)
-    marked = F.when(slot == 2, F.concat(F.lit("[overlapping region]\n"), F.col("band_text"))).otherwise(F.col("band_text"))
+    marked = F.when(slot == 2, F.concat(F.lit("[over the text]\n"), F.col("band_text"))).otherwise(F.col("band_text"))
     parts = bands.where("band_text <> ''").join(body, ["doc_id", "page_no"], "left").select("doc_id", "page_no", slot.alias("slot"), "top", "x0", marked.alias("part"))
     own = pages.select("doc_id", "page_no", F.lit(1).alias("slot"), F.lit(0.0).alias("top"), F.lit(0.0).alias("x0"), F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "").alias("part")).where("part <> ''")
     return join_parts(parts.unionByName(own), ["page_no", "slot", "top", "x0"])

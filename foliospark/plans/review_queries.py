@@ -18,7 +18,7 @@ def corrections_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(items, "review_item_id").select("id", F.col("review_item_id").alias("item"), F.col("field_name").alias("field"), F.col("corrected_value").alias("corrected"), F.col("source_path").alias("path"))
 
 
-HISTORY = LOG + ", h AS (SELECT c.*, lpad(CAST(c.item % 50 AS VARCHAR), 7, '0') || 'QAM000' seller, v0 FROM c JOIN it USING (item) WHERE c.item % 10 <> 0)"
+HISTORY = LOG + ", h AS (SELECT c.*, lpad(CAST(c.item % 50 AS VARCHAR), 7, '0') || 'KBM000' seller, v0 FROM c JOIN it USING (item) WHERE c.item % 10 <> 0)"
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,18 +38,18 @@ def latest_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q_exact_reuse", HISTORY + """, k AS (SELECT seller, arg_max(v, (ts, id)) FILTER (field = 'seller.name') nm, arg_max(v, (ts, id)) FILTER (field = 'seller.rc_number') rc FROM h GROUP BY 1),
-d AS (SELECT c_custkey id, lpad(CAST(c_custkey % 50 AS VARCHAR), 7, '0') || 'QAM000' seller, CASE WHEN c_custkey % 2 = 0 THEN 'own' END own, 'No ' || c_custkey || ' / ' || c_nationkey t FROM customer)
+d AS (SELECT c_custkey id, lpad(CAST(c_custkey % 50 AS VARCHAR), 7, '0') || 'KBM000' seller, CASE WHEN c_custkey % 2 = 0 THEN 'own' END own, 'No ' || c_custkey || ' / ' || c_nationkey t FROM customer)
 SELECT id, CASE WHEN own IS NULL AND nm IS NOT NULL AND contains(t, nm) THEN nm ELSE own END name, CASE WHEN rc IS NOT NULL AND contains(t, rc) THEN rc END rc,
 CASE WHEN own IS NULL AND nm IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN rc IS NOT NULL THEN 1 ELSE 0 END notes FROM d LEFT JOIN k USING (seller)""")
 def exact_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     fields = F.struct(F.when(key % 2 == 0, F.lit("own")).alias("seller_name"), F.lit(None).cast("string").alias("seller_rc_number"))
     text = F.concat(F.lit("No "), key.cast("string"), F.lit(" / "), F.col("c_nationkey").cast("string"))
-    docs = read(spark, sf_dir, "customer").select(key.alias("id"), F.concat(F.lpad((key % 50).cast("string"), 7, "0"), F.lit("QAM000")).alias("seller"), fields.alias("fields"), text.alias("source_text"))
+    docs = read(spark, sf_dir, "customer").select(key.alias("id"), F.concat(F.lpad((key % 50).cast("string"), 7, "0"), F.lit("KBM000")).alias("seller"), fields.alias("fields"), text.alias("source_text"))
     return memory.reuse(docs, history(spark, sf_dir)).select("id", F.col("fields.seller_name").alias("name"), F.col("fields.seller_rc_number").alias("rc"), F.size("notes").alias("notes"))
 
 
-@query("q_overlay", LOG + """, s AS (SELECT item, unnest(['seller_name', 'total_ttc', 'currency']) "key", v0 FROM it), o AS (SELECT item, CASE field WHEN 'buyer.tax_id' THEN 'buyer_tax_id' WHEN 'seller.name' THEN 'seller_name' WHEN 'seller.rc_number' THEN 'seller_rc_number' ELSE field END "key", arg_max(v, id) v FROM c GROUP BY 1, 2)
+@query("q_overlay", LOG + """, s AS (SELECT item, unnest(['seller_name', 'total_ttc', 'currency']) "key", v0 FROM it), o AS (SELECT item, CASE field WHEN 'buyer.tax_id' THEN 'buyer_tax_id' WHEN 'seller.name' THEN 'seller_name' WHEN 'seller.rc_number' THEN 'seller_rc_number' ELSE field END "key", arg_max(v, (ts, id)) v FROM c GROUP BY 1, 2)
 SELECT item, "key", coalesce(v, v0) AS "value" FROM s FULL JOIN o USING (item, "key")""")
 def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = review_log(spark, sf_dir)
@@ -71,12 +71,12 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.crossJoin(log.where("kind = 'deleted'").agg(F.count_distinct("item_id").alias("deleted")))
 
 
-@query("q_queue_listing", LOG + "SELECT item id, '/in/doc-' || item || '.pdf' source_path, status FROM it WHERE status = 'corrected' ORDER BY item DESC LIMIT 50")
+@query("q_queue_listing", LOG + "SELECT item id, '/in/doc-' || item || '.pdf' source_path, status FROM it WHERE status = 'corrected' ORDER BY created DESC, item DESC LIMIT 50")
 def queue_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.listing(review.items(review_log(spark, sf_dir)), "corrected").drop("created_at").limit(50)  # a page of the queue
 
 
-@query("q_gate_json", LOG + """SELECT item, CASE item % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END problems, CASE WHEN item % 10 <> 0 THEN lpad(CAST(item % 50 AS VARCHAR), 7, '0') || 'QAM000' END seller FROM it""")
+@query("q_gate_json", LOG + """SELECT item, CASE item % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END problems, CASE WHEN item % 10 <> 0 THEN lpad(CAST(item % 50 AS VARCHAR), 7, '0') || 'KBM000' END seller FROM it""")
 def gate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = review.gate_problems(F.col("gate_json"))
     return review.items(review_log(spark, sf_dir)).select(F.col("id").alias("item"), F.when(found.isNotNull(), F.size(found)).alias("problems"), F.get_json_object("invoice_json", "$.seller.tax_id").alias("seller"))
@@ -84,15 +84,15 @@ def gate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_mode_label", "WITH g AS (SELECT user_id seller, event_type label, count(*) n, min(event_id) f FROM events GROUP BY 1, 2) SELECT seller, arg_max(label, (n, -f)) label, max(n) n FROM g GROUP BY 1")
 def mode_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = read(spark, sf_dir, "events").select(F.col("user_id").alias("seller"), F.col("event_type").alias("label"), F.col("event_id").alias("id"))
+    seen = read(spark, sf_dir, "events").select(F.col("user_id").alias("seller"), F.col("event_type").alias("label"), F.col("event_id").alias("at"))
     return memory.common_label(seen, ["seller"])
 
 
 @query("q_hint_sentence", """WITH g AS (SELECT user_id % 50 s, event_type label, count(*) n, min(event_id) f FROM events GROUP BY 1, 2), b AS (SELECT s, arg_max(label, (n, -f)) label, max(n) n FROM g GROUP BY 1)
-SELECT CAST(s AS VARCHAR) seller, n, 'On ' || n || ' previous invoice(s) of this seller the field was found ' || CASE WHEN n >= 2 THEN 'consistently' ELSE 'on a prior invoice' END || ' next to the text ''' || label || '''. Use a value in that place only if it is on this document.' hint FROM b""")
+SELECT CAST(s AS VARCHAR) seller, n, 'Corrections of this seller: ' || n || '. The value stood ' || CASE WHEN n >= 2 THEN 'each time' ELSE 'once' END || ' beside ''' || label || '''. Take a value from there only if this document shows it.' hint FROM b""")
 def hint_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("event_id").cast("string")
-    past = read(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("seller"), F.lit("buyer.tax_id").alias("field_name"), F.col("event_id").alias("id"), value.alias("corrected_value"), F.concat(F.lit("7\n"), value, F.lit(" "), "event_type", F.lit("\n9")).alias("source_text"))
+    past = read(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("seller"), F.lit("buyer.tax_id").alias("field_name"), F.col("event_id").alias("id"), F.col("event_id").alias("corrected_at"), value.alias("corrected_value"), F.concat(F.lit("7\n"), value, F.lit(" "), "event_type", F.lit("\n9")).alias("source_text"))
     return memory.hints(past).select("seller", "n", "hint")
 
 

@@ -58,13 +58,13 @@ def required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("doc_id", F.explode(rules.required(lambda k: F.col("fields")[k])).alias("p")).select("doc_id", "p.field")
 
 
-@query("q_tax_id_shape", """WITH x AS (SELECT c_custkey id, CASE c_custkey % 4 WHEN 0 THEN lpad(CAST(c_custkey AS VARCHAR), 7, '0') || 'QAM000' WHEN 1 THEN lpad(CAST(c_custkey AS VARCHAR), 7, '0') || '/q.a-m 000'
+@query("q_tax_id_shape", """WITH x AS (SELECT c_custkey id, CASE c_custkey % 4 WHEN 0 THEN lpad(CAST(c_custkey AS VARCHAR), 7, '0') || 'KBM000' WHEN 1 THEN lpad(CAST(c_custkey AS VARCHAR), 7, '0') || '/k.b-m 000'
   WHEN 2 THEN CAST(c_custkey AS VARCHAR) ELSE '' END raw FROM customer), y AS (SELECT id, upper(regexp_replace(raw, '[\\s/\\-.]', '', 'g')) compacted FROM x)
 SELECT id, compacted, CASE WHEN compacted <> '' AND NOT regexp_matches(compacted, '^[0-9]{6,7}[A-Z]{2,3}[0-9]{3}$') THEN true ELSE false END bad FROM y""")
 def tax_id_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     number = F.lpad(key.cast("string"), 7, "0")
-    raw = F.when(key % 4 == 0, F.concat(number, F.lit("QAM000"))).when(key % 4 == 1, F.concat(number, F.lit("/q.a-m 000"))).when(key % 4 == 2, key.cast("string")).otherwise(F.lit(""))
+    raw = F.when(key % 4 == 0, F.concat(number, F.lit("KBM000"))).when(key % 4 == 1, F.concat(number, F.lit("/k.b-m 000"))).when(key % 4 == 2, key.cast("string")).otherwise(F.lit(""))
     found = rules.tax_ids(lambda k: raw if k == "seller_tax_id" else F.lit(None).cast("string"))
     return read(spark, sf_dir, "customer").select(key.alias("id"), scalars.compact(raw).alias("compacted"), (F.size(found) > 0).alias("bad"))
 

@@ -67,8 +67,8 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.when(k % 5 != 0, F.lit("1.000").cast("decimal(18,3)"))
     zero = F.lit(0).cast("decimal(18,3)")
     ttc = money(F.col("ht") + F.col("tva") + F.coalesce(stamp, zero) + F.when(k % 7 == 0, F.lit("0.500").cast("decimal(18,3)")).otherwise(zero))
-    buyer = F.concat(F.lpad(F.col("o_custkey").cast("string"), 7, "0"), F.lit("FAP000"))
-    seller = F.concat(F.lpad(F.col("seller").cast("string"), 7, "0"), F.lit("QAM000"))
+    buyer = F.concat(F.lpad(F.col("o_custkey").cast("string"), 7, "0"), F.lit("CAP000"))
+    seller = F.concat(F.lpad(F.col("seller").cast("string"), 7, "0"), F.lit("KBM000"))
     return joined.select(
         k.alias("k"), F.when(k % 11 != 0, F.concat(F.lit("INV-"), k.cast("string"))).alias("invoice_number"), F.to_date("o_orderdate").alias("issue_date"),
         F.when(k % 17 == 0, F.concat(F.lit("C"), F.col("seller").cast("string"))).when(k % 19 == 0, buyer).otherwise(seller).alias("seller_tax_id"),
@@ -84,8 +84,8 @@ WITH l AS (SELECT l_orderkey k, l_linenumber n, l_partkey p, l_suppkey s, CAST(l
 g AS (SELECT k, CAST(sum(total) AS DECIMAL(18,3)) ht, CAST(sum(CAST(total * rate AS DECIMAL(18,3))) AS DECIMAL(18,3)) tva, arg_min(s, (n, p, s)) seller, count(*) lines,
   count(CASE WHEN p % 31 <> 0 THEN 1 END) known, sum(CASE WHEN p % 31 <> 0 THEN total END) known_sum FROM l GROUP BY k),
 inv AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 11 <> 0 THEN 'INV-' || o_orderkey END invoice_number, CAST(o_orderdate AS DATE) issue_date,
-  CASE WHEN o_orderkey % 17 = 0 THEN 'C' || seller WHEN o_orderkey % 19 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 7, '0') || 'FAP000' ELSE lpad(CAST(seller AS VARCHAR), 7, '0') || 'QAM000' END seller_tax_id,
-  CASE WHEN o_orderkey % 13 <> 0 THEN lpad(CAST(o_custkey AS VARCHAR), 7, '0') || 'FAP000' END buyer_tax_id, seller, o_custkey buyer, ht, tva,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'C' || seller WHEN o_orderkey % 19 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 7, '0') || 'CAP000' ELSE lpad(CAST(seller AS VARCHAR), 7, '0') || 'KBM000' END seller_tax_id,
+  CASE WHEN o_orderkey % 13 <> 0 THEN lpad(CAST(o_custkey AS VARCHAR), 7, '0') || 'CAP000' END buyer_tax_id, seller, o_custkey buyer, ht, tva,
   CASE WHEN o_orderkey % 5 <> 0 THEN CAST(1 AS DECIMAL(18,3)) END stamp, coalesce(lines, 0) lines, coalesce(known, 0) known, known_sum,
   CAST(ht + tva + CASE WHEN o_orderkey % 5 <> 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 7 = 0 THEN 0.5 ELSE 0 END AS DECIMAL(18,3)) ttc
   FROM orders LEFT JOIN g ON g.k = o_orderkey)
@@ -117,7 +117,7 @@ def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.element_at(F.array(*(F.lit(x) for x in ("buyer.tax_id", "seller.name", "total_ttc", "seller.rc_number"))), (F.col("event_id") % 4 + 1).cast("int"))
     # the seller in the invoice JSON; every tenth item's JSON is broken
     seller = F.lpad((F.col("user_id") % 50).cast("string"), 7, "0")
-    invoice = F.when(F.col("user_id") % 10 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"seller":{"tax_id":"'), seller, F.lit('QAM000"}}')))
+    invoice = F.when(F.col("user_id") % 10 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"seller":{"tax_id":"'), seller, F.lit('KBM000"}}')))
     gate = F.when(F.col("user_id") % 3 == 0, F.lit("[]")).when(F.col("user_id") % 3 == 1, F.lit('{"problems":[{"severity":"error","field":"totals","message":"m"}],"fields":{}}')).otherwise(F.lit("nonsense"))
     is_first, value = F.col("kind") == "submitted", F.floor(F.col("value")).cast("long").cast("string")
     joined = e.join(first, "user_id").withColumn("kind", kind)
@@ -135,5 +135,5 @@ ev AS (SELECT e.event_id id, e.user_id item, ts, CAST(CAST(floor(e.value) AS BIG
   CASE e.event_id % 4 WHEN 0 THEN 'buyer.tax_id' WHEN 1 THEN 'seller.name' WHEN 2 THEN 'total_ttc' ELSE 'seller.rc_number' END field FROM events e JOIN f USING (user_id)),
 live AS (SELECT * FROM ev WHERE item NOT IN (SELECT item FROM ev WHERE kind = 'deleted')),
 c AS (SELECT id, item, field, v, ts FROM live WHERE kind = 'corrected'),
-it AS (SELECT item, max(CASE WHEN kind = 'submitted' THEN v END) v0, arg_max(CASE kind WHEN 'submitted' THEN 'pending' ELSE kind END, (ts, id)) status FROM live GROUP BY 1)
+it AS (SELECT item, max(CASE WHEN kind = 'submitted' THEN v END) v0, min(CASE WHEN kind = 'submitted' THEN ts END) created, arg_max(CASE kind WHEN 'submitted' THEN 'pending' ELSE kind END, (ts, id)) status FROM live GROUP BY 1)
 """
