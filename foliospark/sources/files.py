@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.scalars import labelled, stem
@@ -47,17 +47,67 @@ def read_einvoices(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path).withColumnRenamed("text", "xml")
 
 
+def results_as_text(results: DataFrame) -> DataFrame:
+    """``name, source, fields, report, xml`` of processed documents, each a text; ``xml`` is null where a person must look first."""
+    return results.select(
+        stem(F.col("source_path")).alias("name"), F.coalesce("source_text", F.lit("")).alias("source"),
+        F.to_json(F.col("fields").withField("line_items", F.col("line_items")) if "line_items" in results.columns else F.col("fields"), {"ignoreNullFields": "false"}).alias("fields"),
+        report(results.columns).alias("report"), F.when(~F.coalesce("needs_review", F.lit(True)), F.col("xml")).alias("xml"),
+    )
+
+
 def write_results(results: DataFrame, folder: str, partitions: int | None = None) -> None:
-    """Fields and reports of every document; XML only of those that need no review."""
-    named = results.withColumn("name", stem(F.col("source_path")))
-    clean, _ = split_sinks(named)
-    out = named if partitions is None else named.repartition(partitions)
-    out.select("name", F.to_json("fields").alias("fields"), report(F.col("needs_review"), F.col("problems"), F.col("still_deficient")).alias("report")).write.mode("overwrite").parquet(f"{folder}/reports")
-    clean.where("xml is not null").select("name", "xml").write.mode("overwrite").parquet(f"{folder}/xml")
-
-
-def report(needs_review, problems, still_deficient):
-    """A readable summary of one document."""
-    lines = F.transform(problems, lambda p: F.concat(F.lit("  "), labelled(p["severity"], p["field"], p["message"])))
-    verdict = F.when(needs_review, F.lit("NEEDS REVIEW")).otherwise(F.lit("OK"))
-    return F.concat_ws("\n", F.concat(F.lit("verdict: "), verdict), F.concat(F.lit("problems: "), F.size(problems).cast("string")), F.array_join(lines, "\n"), F.concat(F.lit("unresolved: "), F.array_join(still_deficient, ", ")))
+    """Source text, fields and report of every document; XML only of those that need no review."""
+    texts = results_as_text(results if partitions is None else results.repartition(partitions))
+    texts.drop("xml").write.mode("overwrite").parquet(f"{folder}/reports")
+    clean, _ = split_sinks(results)
+    clean.where("xml is not null").select(stem(F.col("source_path")).alias("name"), "xml").write.mode("overwrite").parquet(f"{folder}/xml")
+
+
+#: What ``export_files`` writes of a document: column and file ending.
+ENDINGS = (("source", ".source.txt"), ("fields", ".fields.json"), ("report", ".report.txt"), ("xml", ".xml"))
+
+
+def export_files(results: DataFrame, folder: str) -> list[str]:
+    """One file for each text of a few documents, named after their sources; written by the driver, one document at a time. Batches belong in ``write_results``."""
+    spark, written = results.sparkSession, []
+    jvm = spark.sparkContext._jvm
+    for row in results_as_text(results).toLocalIterator():
+        for column, ending in ENDINGS:
+            if row[column] is None:
+                continue
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.name}{ending}")
+            out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+            out.write(bytearray(row[column].encode()))
+            out.close()
+            written.append(path.toString())
+    return written
+
+
+def report(columns: list[str]) -> Column:
+    """A readable summary of one document, of as many sections as there are columns for."""
+    parts = [F.concat(F.lit("document: "), F.coalesce("source_path", F.lit("?"))), F.concat(F.lit("verdict: "), F.when(F.col("needs_review"), F.lit("NEEDS REVIEW")).otherwise(F.lit("OK")))]
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+
+    def section(title: str, lines: Column, none: str) -> Column:
+        listed = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("  "), x)), "\n")
+        return F.concat(F.lit(f"{title}:\n"), F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, listed).otherwise(F.lit(f"  {none}")))
+
+    if "classification" in columns:
+        parts.append(F.concat(F.lit("read as: "), text(F.col("classification")), F.when(F.col("low_confidence"), F.lit(" (low confidence)")).otherwise(F.lit(""))))
+    if "tiers_tried" in columns:
+        parts.append(section("tiers", F.transform("tiers_tried", lambda t: F.format_string("%s (%s): %d error(s), unresolved: %s", t["tier"], t["model"], t["errors"], F.array_join(t["still_deficient"], ", "))), "none"))
+    if "calls" in columns:
+        parts.append(section("model calls", F.transform("calls", lambda c: F.format_string("%s %s: %s s, %s in, %s out%s", c["kind"], text(c["model"]), text(F.round(c["duration_s"], 1)), text(c["prompt_tokens"]), text(c["output_tokens"]), F.coalesce(F.concat(F.lit(", "), c["error"]), F.lit("")))), "none"))
+        parts.append(F.concat(F.lit("model time: "), text(F.round(F.aggregate("calls", F.lit(0.0), lambda a, c: a + F.coalesce(c["duration_s"], F.lit(0.0))), 1)), F.lit(" s")))
+    if "rounds" in columns:
+        parts.append(section("repair rounds", F.transform("rounds", lambda r: F.format_string("%d: asked %s, accepted %s, rejected %s", r["round_no"], *(F.array_join(r[k], ", ") for k in ("asked", "accepted", "rejected")))), "none was needed"))
+    parts.append(section("checks", F.transform("problems", lambda p: labelled(p["severity"], p["field"], p["message"])), "all passed"))
+    parts.append(F.concat(F.lit("unresolved: "), F.coalesce(F.array_join("still_deficient", ", "), F.lit(""))))
+    if "findings" in columns:
+        parts.append(section("e-invoice", F.transform("findings", lambda f: labelled(f["severity"], f["path"], f["message"])), "no finding"))
+    if "build_warnings" in columns:
+        parts.append(section("builder", F.coalesce("build_warnings", F.array().cast("array<string>")), "no warning"))
+    if "notes" in columns:
+        parts.append(section("notes", F.col("notes"), "none"))
+    return F.concat_ws("\n", *parts)
