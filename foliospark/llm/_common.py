@@ -7,11 +7,8 @@ never a lost result.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.session import work_dir
+
 #: Bytes of text that a Python worker holds as one chunk.
 CHUNK_BYTES = 4 << 20
 #: Rows in a batch between Spark and a Python worker, unless the session asks for fewer: texts and sets are long rows.
@@ -38,20 +37,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of our own only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        own = tempfile.mkdtemp(prefix="foliospark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's batch size, so that a worker and the executor's direct memory hold a few megabytes of rows at a time."""
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
@@ -65,7 +50,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         bound_batches(spark)
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
         self._count = 0
 

@@ -459,6 +459,16 @@ def decode(streams: list[bytes]) -> list[tuple[dict, list[tuple[int, np.ndarray]
     return result
 
 
+def decode_each(streams: list[bytes]) -> list[tuple[dict, list[tuple[int, np.ndarray]], str | None]]:
+    """As ``decode``, but a stream that cannot be decoded has no block and an error text, and spoils no other."""
+    try:
+        return [(*x, None) for x in decode(streams)]
+    except (ValueError, IndexError, KeyError, OverflowError, struct.error) as e:
+        if len(streams) == 1:
+            return [({}, [], f"{type(e).__name__}: {e}")]
+        return [x for s in streams for x in decode_each([s])]
+
+
 def pcm_bytes(blocks: list[tuple[int, np.ndarray]], info: dict) -> bytes:
     """Interleaved little-endian signed samples."""
     wide = (info["bits"] + 7) // 8
@@ -485,18 +495,22 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def decode_blocks(media: DataFrame) -> DataFrame:
-    """PCM blocks with seekable offsets: ``doc_id, block_no, first_sample, n_samples, channels, bits, pcm``. Null media give no block."""
+    """PCM blocks with seekable offsets: ``doc_id, block_no, first_sample, n_samples, channels, bits, pcm, error``.
+
+    Null media give no block; a damaged stream gives one row with ``error`` alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 1 << 20, "media"):
             rows = [(i, m) for i, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True) if m is not None]
             out = []
-            for (doc_id, _), (info, blocks) in zip(rows, decode([m for _, m in rows]), strict=True):
-                out += [(doc_id, n, at, x.shape[1], len(x), info["bits"], pcm_bytes([(at, x)], info)) for n, (at, x) in enumerate(blocks)]
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "block_no", "first_sample", "n_samples", "channels", "bits", "pcm"])
+            for (doc_id, _), (info, blocks, error) in zip(rows, decode_each([m for _, m in rows]), strict=True):
+                out += [(doc_id, n, at, x.shape[1], len(x), info["bits"], pcm_bytes([(at, x)], info), None) for n, (at, x) in enumerate(blocks)]
+                out += [(doc_id, *[None] * 6, error)] if error else []
+            cols = list(zip(*out, strict=True)) or [[]] * 8
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=["doc_id", "block_no", "first_sample", "n_samples", "channels", "bits", "pcm", "error"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block_no int, first_sample long, n_samples int, channels int, bits int, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block_no int, first_sample long, n_samples int, channels int, bits int, pcm binary, error string")
 
 
 def feature(x: np.ndarray) -> str:
@@ -506,20 +520,24 @@ def feature(x: np.ndarray) -> str:
 
 
 def digest_media(media: DataFrame) -> DataFrame:
-    """Decode each stored stream and describe what was read back."""
+    """Decode each stored stream and describe what was read back; of a null or damaged one only ``error`` says something."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 1 << 20, "media"):
-            stored, cols = b.column("media").to_pylist(), [[] for _ in range(6)]
-            for m, (_, blocks) in zip(stored, decode(stored), strict=True):
+            stored, cols = b.column("media").to_pylist(), [[] for _ in range(7)]
+            for m, (_, blocks, error) in zip(stored, decode_each([m or b"" for m in stored]), strict=True):
+                if error:
+                    for c, v in zip(cols, (*[None] * 6, error), strict=True):
+                        c.append(v)
+                    continue
                 x = np.concatenate([s[0] for _, s in blocks])
                 back = (x + 128).astype(np.uint8).tobytes()
-                for c, v in zip(cols, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(x)), strict=True):
+                for c, v in zip(cols, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(x), None), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,3 +419,58 @@ def test_piece_codec_lets_words_go(monkeypatch):
         texts = [prose(rng, 6) for _ in range(3)]
         assert [x.tolist() for x in codec.encode(texts)[0]] == codec.other.encode(texts)
         assert len(codec.known) <= 5 and len(codec.older) <= 5 + 18
+
+
+def test_flac_damage_stays_with_its_own_stream(spark):
+    good = flac.encode([flac.payload_of(b"abc")])[0]
+    media = spark.createDataFrame([(1, 3, bytearray(good)), (2, 9, bytearray(b"fLaC broken")), (3, 0, None), (4, 5, bytearray(good[:-3])), (5, 3, bytearray(good))], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in flac.digest_media(media).collect()}
+    assert {i: r.error is None for i, r in rows.items()} == {1: True, 2: False, 3: False, 4: False, 5: True} and rows[1].payload_bytes == rows[5].payload_bytes == 576 and rows[2].feature is None
+    blocks = flac.decode_blocks(media).collect()
+    assert sorted((b.doc_id, b.error is None) for b in blocks) == [(1, True), (2, False), (4, False), (5, True)]
+
+
+def test_pre_tokens_that_are_split_again_are_counted_alone(monkeypatch):
+    import public_tokenizers
+
+    split = token_counts.PreTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert split.pieces(["hello", "two words", "x"]).tolist() == [1, 2, 1]
+
+
+def test_license_scan_tells_the_kinds_of_bsd_apart():
+    texts = {n: w for n, w in license_scan.TEMPLATES if n.startswith("BSD")}
+    for name, wording in texts.items():
+        lines = textwrap.wrap(wording, 72)
+        assert {h[0] for h in license_scan.Scanner().scan("Copyright 2019 Somebody\n\n * " + "\n * ".join(lines) + "\n\nmore prose")} == {name}
+
+
+def test_near_duplicates_of_rows_without_ids(spark):
+    text = prose(random.Random(1), 30)
+    docs = spark.createDataFrame([(None, text), (4, text), (3, text + " w1"), (None, "said once only in this very place")], "doc_id long, text string")
+    rows = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(docs).collect())
+    assert rows == [("3", 27, 3), ("4", 26, 3), ("None", 3, None), ("None", 26, 3)]
+
+
+def test_sharding_of_rows_without_ids_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, None), (2, "a b c")], "doc_id long, text string")
+    rows = sharding.shard(docs, shards=2).collect()
+    assert len(rows) == 5 and all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in (0, 1))
+
+
+def test_sharding_packs_as_brute_force_does():
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(1, 100, (40, 3)).astype(float)
+    share, left, want = vectors / vectors.sum(axis=0), [[1 / 4] * 3 for _ in range(4)], [0] * 40
+    for i in sorted(range(40), key=lambda i: -max(share[i])):
+        best = max(range(4), key=lambda s: (sum(a * b for a, b in zip(left[s], share[i], strict=True)), -s))
+        want[i] = best
+        left[best] = [a - b for a, b in zip(left[best], share[i], strict=True)]
+    assert sharding.pack(vectors, 4).tolist() == want
+
+
+def test_quality_and_decontamination_of_empty_tables(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_lm.classify(frame(spark, []), labels).count() == 0
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.find_leaks(frame(spark, ["a", None]), nothing).count() == 0 and decontaminate.find_leaks(frame(spark, []), spark.createDataFrame([(1, "abc")], "item_id long, text string")).count() == 0
+    assert license_scan.scan_licenses(frame(spark, [])).count() == 0 and license_scan.scan_licenses(frame(spark, ["All rights reserved."] * 2)).count() == 2
