@@ -35,15 +35,16 @@ def parse_decimal(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """The date in one of five shapes; the first shape that fits decides, and an impossible date is null."""
-    iso = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    # each shape is turned into y-m-d, which no later pattern matches
-    shapes = [(r"^(\d{2})(\d{2})(\d{2})\z", "20$3-$2-$1"), (r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\z", "$3-$2-$1"), (r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2})\z", "20$3-$2-$1")]
-    for number in sorted(set(MONTHS.values())):
-        names = "|".join(k for k, v in MONTHS.items() if v == number)
-        shapes.append((rf"(?iu)^(\d{{1,2}})\s+(?:{names})\s+(\d{{4}})\z", f"$2-{number}-$1"))
-    for pattern, order in shapes:
+    text = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    spelled = r"(?U)^(\d{1,2})\s+(\p{L}+)\s+(\d{4})\z"
+    months = F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv))
+    month = F.try_element_at(months, F.lower(F.regexp_extract(text, spelled, 2)))
+    # each other shape is turned into y-m-d, which no later pattern matches
+    iso = text
+    for pattern, order in ((r"^(\d{2})(\d{2})(\d{2})\z", "20$3-$2-$1"), (r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\z", "$3-$2-$1"), (r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2})\z", "20$3-$2-$1")):
         iso = F.regexp_replace(iso, pattern, order)
-    return F.try_to_date(iso, "yyyy-M-d")
+    named = F.concat_ws("-", F.right(text, F.lit(4)), month, F.regexp_extract(text, r"^(\d+)", 1))
+    return F.try_to_date(F.when(month.isNotNull(), named).otherwise(iso), "yyyy-M-d")
 
 
 def format_ddmmyy(c: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions import codes, scalars
+from foliospark.functions import scalars
 from foliospark.operators import assemble, rules
 from foliospark.plans.tables import INV, invoices, lines, money, query, read, records
 
@@ -32,6 +32,15 @@ def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verify(records(spark, sf_dir))
 
 
+def _field(key: str) -> Column:
+    return F.col("fields")[key]
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with their totals (``numbers``) and line sums (``summary``) parsed once."""
+    return records(spark, sf_dir).select("doc_id", "fields", "line_items", rules.parsed_totals(_field).alias("numbers"), rules.line_summary(F.col("line_items")).alias("summary"))
+
+
 @query("q_problems", PROBLEMS + "SELECT doc_id, rule, severity, field FROM p")
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(spark, sf_dir).select("doc_id", F.inline("problems")).select("doc_id", "rule", "severity", "field")
@@ -39,17 +48,17 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_line_sum", INV + "SELECT k doc_id, CASE WHEN known = lines THEN 'V7' ELSE 'V6' END rule FROM inv WHERE known > 0 AND (known < lines OR abs(known_sum - ht) > 0.05)")
 def line_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = records(spark, sf_dir).select("doc_id", F.explode(rules.line_sum(lambda k: F.col("fields")[k], F.col("line_items"))).alias("p"))
-    return found.select("doc_id", "p.rule")
+    parsed = _parsed(spark, sf_dir)
+    found = rules.line_sum(_field, F.col("line_items"), number=lambda k: F.col("numbers")[k], summary=F.col("summary"))
+    return parsed.select("doc_id", F.explode(found).alias("p")).select("doc_id", "p.rule")
 
 
 @query("q_totals", INV + """SELECT k doc_id, CASE WHEN ht IS NULL THEN 'V4' ELSE 'V5' END rule, CAST(abs(ht + tva + coalesce(stamp, 0) - ttc) AS DECIMAL(18,3)) off
 FROM inv WHERE ht IS NULL OR abs(ht + tva + coalesce(stamp, 0) - ttc) > 0.01""")
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    get = lambda k: F.col("fields")[k]
-    d = {k: scalars.parse_decimal(get(k)) for k in codes.TOTALS}
-    off = F.abs(d["total_ht"] + d["tva_amount"] + F.coalesce(d["stamp_duty"], F.lit(0)) - d["total_ttc"])
-    return records(spark, sf_dir).select("doc_id", money(off).alias("off"), F.explode(rules.totals(get)).alias("p")).select("doc_id", "p.rule", "off")
+    number = lambda k: F.col("numbers")[k]
+    off = F.abs(number("total_ht") + number("tva_amount") + F.coalesce(number("stamp_duty"), F.lit(0)) - number("total_ttc"))
+    return _parsed(spark, sf_dir).select("doc_id", money(off).alias("off"), F.explode(rules.totals(_field, number=number)).alias("p")).select("doc_id", "p.rule", "off")
 
 
 @query("q_required", INV + """SELECT k doc_id, unnest(list_filter([CASE WHEN invoice_number IS NULL THEN 'invoice_number' END, CASE WHEN buyer_tax_id IS NULL THEN 'buyer_tax_id' END,
