@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -114,6 +115,15 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tokenizer_file(path: str) -> str:
+    """The file, or where this machine keeps it elsewhere, the public file of the same name; workers ask for themselves."""
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(path))
+
+
 def byte_list(col: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column without decoding them."""
     return col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary()).to_pylist()
@@ -124,9 +134,9 @@ BROADCAST_ROWS = 1_000_000
 
 
 def checked_side(df: DataFrame, weight: str = "1") -> DataFrame:
-    """A written table of ids, marked for broadcast if its counted rows (or summed ``weight``) are within the bound, else for a shuffled hash join."""
+    """A written table of ids, marked for broadcast if its counted rows (or summed ``weight``) are within the bound; else the join is a sort-merge one, which can spill."""
     rows = df.agg(F.coalesce(F.sum(F.expr(weight)), F.lit(0)).alias("n")).first().n
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("shuffle_hash")
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

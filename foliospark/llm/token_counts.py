@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import Scratch, chunks, doc_text, shuffle_partitions, table
+from foliospark.llm._common import Scratch, chunks, doc_text, shuffle_partitions, table, tokenizer_file
 
 LIMIT = 2048
 BLOCK_BYTES = 8 << 20
@@ -77,7 +77,7 @@ class PreTokenizer:
 
 @lru_cache(maxsize=2)
 def _pre_tokenizer(path: str) -> PreTokenizer:
-    return PreTokenizer(path)
+    return PreTokenizer(tokenizer_file(path))
 
 
 def pack_ints(values: np.ndarray) -> bytes:
