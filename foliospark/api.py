@@ -186,9 +186,11 @@ class Engine:
         self.append(review.event(self.spark, item_id, "deleted", F.current_timestamp()))
 
     def records(self, item_id: int) -> DataFrame:
-        """``doc_id, fields, line_items`` of one item as a flat record, corrections laid over."""
+        """``doc_id, fields, line_items`` of one item as a flat record, corrections laid over, those of single line values too."""
         wide = self.fields(item_id).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
         lines = F.coalesce(F.from_json(F.try_element_at("m", F.lit("line_items")), LINES), F.array().cast(LINES))
+        at = lambda i, k: F.try_element_at("m", F.concat(F.lit("line_items["), i.cast("string"), F.lit(f"].{k}")))
+        lines = F.transform(lines, lambda x, i: F.struct(*(F.coalesce(at(i, k), x[k]).alias(k) for k in codes.LINE_FIELDS)))
         return wide.select(F.col("id").alias("doc_id"), process.as_fields(F.col("m")).alias("fields"), lines.alias("line_items"))
 
     def xml(self, item_id: int) -> DataFrame:

@@ -158,10 +158,11 @@ def test_engine_from_file_to_review_and_back(spark, tmp_path):
     engine.correct(item, "total_ttc", "300.000")
     made = engine.corrections(item).collect()
     assert [(c.field_name, c.original_value, c.corrected_value) for c in made] == [("seller.tax_id", None, "1111111KBM000"), ("seller.tax_id", "1111111KBM000", "4410092KBM000"), ("total_ttc", "286.600", "300.000")]
+    engine.correct(item, "line_items[0].description", "Stool")
     one = engine.item(item).first()
-    assert one.status == "corrected" and one.fields["seller_tax_id"] == "4410092KBM000" and len(one.corrections) == 3
+    assert one.status == "corrected" and one.fields["seller_tax_id"] == "4410092KBM000" and len(one.corrections) == 4
     xml = engine.xml(item).first()
-    assert "4410092KBM000" in xml.xml and "300.000" in xml.xml and "Chair" in xml.xml and not xml.verified
+    assert "4410092KBM000" in xml.xml and "300.000" in xml.xml and "Stool" in xml.xml and "Chair" not in xml.xml and not xml.verified
     places = {r.key: r for r in engine.highlights(item, pages.JsonPages()).collect()}
     assert places["buyer_name"].precise and (places["buyer_name"].x0, places["buyer_name"].bottom) == (10, 80) and "total_ttc" not in places
     assert engine.pdf(item).first().length > 100
