@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from foliospark.llm._common import Scratch, checked_side, chunks, doc_text, table
 
 MIN_WORDS = 20
+#: Holders of one run, and later documents of one first holder, that are joined in one place; more are dealt over several.
+SPREAD = 1000
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -128,6 +130,19 @@ def repeats(a: list[int], words: list[int], b: list[int], min_words: int) -> set
     return gone
 
 
+def spread_join(many: DataFrame, few: DataFrame, sizes: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """``many`` (with ``doc_id``) joined on ``key`` to ``few``; ``n``, in ``few`` and in the written table ``sizes``, is the key's number of rows in ``many``.
+
+    A key of more than ``SPREAD`` rows, such as a line that a third of all documents hold, is dealt by
+    document over as many copies of its row in ``few`` as it takes, so that no task gets all of it.
+    """
+    copies = F.floor((F.col("n") - 1) / SPREAD).cast("int")
+    hot = scratch.write(sizes.where(F.col("n") > SPREAD).select(key, copies.alias("copies")), "hot")
+    dealt = many.join(checked_side(hot), key, "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("copies") + 1), F.lit(0)).cast("int"))
+    copied = few.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("n")
+    return dealt.drop("copies").join(copied, [key, "copy"]).drop("copy")
+
+
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, gone``: hashes of the lines to delete, with their places, for each document that has any."""
 
@@ -140,8 +155,11 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = scratch.write(doc_text(docs).where("doc_id is not null").mapInArrow(split, "doc_id long, hashes array<long>, words array<int>, at array<int>, runs array<long>"), "lines")
     each = lines.select("doc_id", F.explode("runs").alias("h"))
-    first = each.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
-    pairs = scratch.write(each.join(first, "h").where("owner < doc_id").select("doc_id", "owner").distinct(), "pairs")
+    first = each.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = scratch.write(first.where("owner < last").select("h", "owner", "n"), "first")
+    found = spread_join(each, first, first, "h", scratch)
+    pairs = scratch.write(found.where("owner < doc_id").select("doc_id", "owner").distinct(), "pairs")
+    scratch.drop(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,8 +169,9 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "at", "h"])
 
-    owners = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("theirs"))
-    aligned = pairs.join(owners, "owner").join(lines.drop("runs"), "doc_id").select("doc_id", "hashes", "words", "at", "theirs").mapInArrow(run, "doc_id long, at int, h long")
+    followers = scratch.write(pairs.groupBy("owner").agg(F.count("*").alias("n")), "followers")
+    owners = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("theirs")).join(followers, "owner")
+    aligned = spread_join(pairs, owners, followers, "owner", scratch).join(lines.drop("runs"), "doc_id").select("doc_id", "hashes", "words", "at", "theirs").mapInArrow(run, "doc_id long, at int, h long")
     return scratch.write(aligned.groupBy("doc_id").agg(F.collect_set(F.struct("at", "h")).alias("gone")), "gone")
 
 

@@ -228,7 +228,9 @@ def brute_repeats(texts, min_words):
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("spread", [1000, 2])
+def test_line_dedup_against_brute_force(spark, monkeypatch, spread):
+    monkeypatch.setattr(line_dedup, "SPREAD", spread)
     rng = random.Random(8)
     pool = [prose(rng, n) for n in (1, 2, 3, 5, 6, 7, 8, 9, 12, 25)]
     texts = []
