@@ -33,6 +33,8 @@ from foliospark.llm._common import Scratch, chunks, doc_text, shuffle_partitions
 
 LIMIT = 2048
 BLOCK_BYTES = 8 << 20
+#: Pre-tokens of blocks that one part answers, at most about; no part holds more distinct ones.
+PART_WORDS = 1_000_000
 #: Texts with no other characters are split alike by the library and by PLAIN_SPLIT.
 _EXOTIC = re.compile("[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
 _PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
@@ -90,13 +92,13 @@ def unpack_ints(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _blocks(path: str, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["block", "part", "words", "ids", "sizes", "special", "lengths", "index", "freq"]
+def _blocks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        split, task = _pre_tokenizer(path), TaskContext.get().partitionId()
+        split, task, press = _pre_tokenizer(path), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
         for seq, b in enumerate(chunks(batches, BLOCK_BYTES)):
             local: dict[str, int] = {}
             lengths, special, sizes, index, freq = [], [], [], [], []
@@ -108,38 +110,48 @@ def _blocks(path: str, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 lengths.append(len(counted))
                 special.append(n)
                 sizes.append(len(text.encode()))
-            routed: list[list[str]] = [[] for _ in range(parts)]
-            rank = np.zeros(len(local), np.int64)
-            where = np.zeros(len(local), np.int64)
-            for i, w in enumerate(local):  # position in the order of parts, as the answers come back
-                p = crc32(w.encode()) % parts
-                where[i], rank[i] = p, len(routed[p])
-                routed[p].append(w)
-            starts = np.concatenate(([0], np.cumsum([len(r) for r in routed])))
-            place = starts[where] + rank
-            block = task << 32 | seq
-            press = zstandard.ZstdCompressor(level=1)
-            rows = [(p, press.compress("\n".join(r).encode())) for p, r in enumerate(routed) if r]
-            every = np.concatenate(index) if index else np.zeros(0, np.uint32)
-            whole = [[block], [None], [None], [b.column("doc_id").to_pylist()], [sizes], [special], [lengths], [pack_ints(place[every])], [pack_ints(np.concatenate(freq))]]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(whole, kinds, strict=True)], names=names)
-            for at in range(0, len(rows), 64):
-                some = rows[at : at + 64]
-                cols = [[block] * len(some), [p for p, _ in some], [w for _, w in some], *[[None] * len(some)] * 6]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            raw = [w.encode() for w in local]
+            order = np.argsort(_hashes(raw), kind="stable")  # the order of parts, however many there will be
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            words = press.compress(b"\n".join(raw[i] for i in order.tolist()))
+            row = [task << 32 | seq, words, len(raw), b.column("doc_id").to_pylist(), sizes, special, lengths, pack_ints(place[np.concatenate(index)]), pack_ints(np.concatenate(freq))]
+            yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[f.split(" ")[0] for f in _BLOCK_SCHEMA.split(", ")])
 
     return run
 
 
-_BLOCK_SCHEMA = "block long, part int, words binary, ids array<long>, sizes array<long>, special array<int>, lengths array<int>, index binary, freq binary"
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.uint64, len(words))
+
+
+def _send(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts the words of each block, which are in the order of their hashes, into parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inflate, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for block, blob in zip(b.column("block").to_pylist(), b.column("words"), strict=True):
+                words = inflate.decompress(blob.as_buffer()).split(b"\n")
+                cuts = np.searchsorted((_hashes(words) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+                used = np.flatnonzero(np.diff(cuts)).tolist()
+                for at in range(0, len(used), 64):
+                    some = used[at : at + 64]
+                    cols = [[block] * len(some), some, [press.compress(b"\n".join(words[cuts[p] : cuts[p + 1]])) for p in some]]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "words"])
+
+    return run
+
+
+_BLOCK_SCHEMA = "block long, words binary, n_words long, ids array<long>, sizes array<long>, special array<int>, lengths array<int>, index binary, freq binary"
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` for each row, repeated rows included."""
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark, "token-counts"), shuffle_partitions(spark)
-    blocks = scratch.write(doc_text(docs).mapInArrow(_blocks(path, parts), _BLOCK_SCHEMA), "blocks")
+    scratch = Scratch(spark, "token-counts")
+    blocks = scratch.write(doc_text(docs).mapInArrow(_blocks(path), _BLOCK_SCHEMA), "blocks")
+    parts = max(shuffle_partitions(spark), int(blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first().n) // PART_WORDS + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known, inflate = _pre_tokenizer(path), {}, zstandard.ZstdDecompressor()
@@ -152,7 +164,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.record_batch([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([pack_ints(answer)], pa.binary())], names=["block", "part", "pieces"])
 
     answers = (
-        blocks.where("part is not null").select("block", "part", "words")
+        blocks.where("n_words > 0").select("block", "words").mapInArrow(_send(parts), "block long, part int, words binary")
         .repartitionById(parts, F.col("part")).mapInArrow(count, "block long, part int, pieces binary")
         .groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "pieces"))).alias("answers"))
     )
@@ -160,14 +172,17 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                pieces = np.concatenate([unpack_ints(a["pieces"]) for a in row["answers"] or []] or [np.zeros(0, np.uint32)]).astype(np.int64)
-                ends = np.cumsum(row["lengths"])
-                sums = np.concatenate(([0], np.cumsum(pieces[unpack_ints(row["index"])] * unpack_ints(row["freq"]))))
-                n = sums[ends] - sums[ends - row["lengths"]] + row["special"]
-                yield pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-
-    whole = blocks.where("part is null").drop("part", "words")
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i] for c in b.schema.names}
+                told = row["answers"].values.field("pieces").to_pylist() if row["answers"].is_valid else []
+                pieces = np.concatenate([*map(unpack_ints, told), np.zeros(0, np.uint32)]).astype(np.int64)
+                lengths = row["lengths"].values.to_numpy().astype(np.int64)
+                ends = np.cumsum(lengths)
+                sums = np.concatenate(([0], np.cumsum(pieces[unpack_ints(row["index"].as_py())] * unpack_ints(row["freq"].as_py()))))
+                n = sums[ends] - sums[ends - lengths] + row["special"].values.to_numpy()
+                yield pa.record_batch([row["ids"].values, row["sizes"].values, pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    whole = blocks.drop("words", "n_words")
     return whole.join(answers, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
 
 
