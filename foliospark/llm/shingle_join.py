@@ -46,6 +46,7 @@ from foliospark.llm.components import connected_components
 WORDS = 5
 FRONT = np.uint64(1 << 62)  # the first pass looks at the shingles below
 BLOCK_TOKENS = 250_000
+PART_SHINGLES = 2_000_000  # of blocks, that one part counts, at most about
 VERIFY_COST = 30  # verifying a pair costs so many list entries
 MAX_ROUNDS = 3
 #: Longer shingle lists are settled in groups, without a row for each pair.
@@ -158,8 +159,10 @@ def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _frequencies(blocks: DataFrame, parts: int) -> DataFrame:
-    """``block, grams, df``: for each block those of its shingles that occur in two sets or more."""
+def _frequencies(blocks: DataFrame) -> DataFrame:
+    """``block, grams, df``: for each block those of its shingles that occur in two sets or more; the number of parts grows with the shingles."""
+    held = F.aggregate("kept", F.lit(0).cast("long"), lambda total, k: total + k)
+    parts = max(shuffle_partitions(blocks.sparkSession), int(blocks.agg(F.coalesce(F.sum(held), F.lit(0)).alias("n")).first().n) // PART_SHINGLES + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -365,14 +368,14 @@ _LENGTHS = "100 * least(n, n2) >= 80 * greatest(n, n2)"
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; the component is the smallest ``doc_id`` reachable by links."""
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark, "shingle-join"), shuffle_partitions(spark)
+    scratch = Scratch(spark, "shingle-join")
     blocks = scratch.write(doc_text(docs).mapInArrow(_make_blocks, "block long, ids array<long>, nodes array<long>, n array<int>, first array<int>, kept array<int>, grams binary"), "blocks")
     rows = blocks.select(F.explode(F.arrays_zip("ids", "nodes", "n")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.nodes").alias("node"), F.col("d.n").alias("n"))
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    staying = _with_frequencies(blocks, _frequencies(blocks, parts), _stays, "node long").distinct()
+    staying = _with_frequencies(blocks, _frequencies(blocks), _stays, "node long").distinct()
     wanted = scratch.write(classes.join(staying, "node", "left_semi").select("doc_id", "node"), "staying")
     full = scratch.write(_full_blocks(docs, wanted), "full")
-    prefixes = scratch.write(_with_frequencies(full, _frequencies(full, parts), _prefix, "node long, n int, l int, grams array<long>, levels array<int>").dropDuplicates(["node"]), "prefixes")
+    prefixes = scratch.write(_with_frequencies(full, _frequencies(full), _prefix, "node long, n int, l int, grams array<long>, levels array<int>").dropDuplicates(["node"]), "prefixes")
     post = prefixes.select("node", "n", "l", F.explode(F.arrays_zip("grams", "levels")).alias("g")).select("node", "n", "l", F.col("g.grams").alias("gram"), F.col("g.levels").alias("level"))
     lists = post.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
     post = scratch.write(post.join(lists.select("gram"), "gram", "left_semi"), "post")

@@ -53,6 +53,7 @@ def brute_sets(text):
 @pytest.mark.parametrize("long_list", [64, 3])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, long_list):
     monkeypatch.setattr(shingle_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(shingle_join, "PART_SHINGLES", 100 * long_list)
     texts = corpus()
     sets = [brute_sets(t) for t in texts]
     root = list(range(len(texts)))
@@ -135,7 +136,9 @@ def test_flac_media_columns(spark):
     assert [b.first_sample for b in blocks] == [0, 576, 1152, 1728]
 
 
-def test_token_counts_match_the_library(spark):
+@pytest.mark.parametrize("part_words", [1_000_000, 2])
+def test_token_counts_match_the_library(spark, monkeypatch, part_words):
+    monkeypatch.setattr(token_counts, "PART_WORDS", part_words)
     import public_tokenizers
     from tokenizers import Tokenizer
 
