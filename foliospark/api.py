@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from foliospark.config import DEFAULT, Config
 from foliospark.functions import codes
 from foliospark.operators import assemble, einvoice, geometry, highlights, process, review
 from foliospark.operators.repair import LINES
+from foliospark.sources.bucketlog import BucketLog, ConflictError
 from foliospark.sources.files import browse, scan_pdfs, write_results
 from foliospark.sources.pages import PageProvider, ingest
 from foliospark.sources.providers import ModelProvider
@@ -22,10 +25,15 @@ FILES = "job_id string, file string, status string, phase string, error string,
 
 
 class Engine:
-    """A review store (a folder of event files) and what can be asked of it. Jobs and intermediate tables lie in folders beside it, which all executors must see."""
+    """A review store (events in a bucketed log) and what can be asked of it. Jobs and intermediate tables lie in folders beside it, which all executors must see.
+
+    Verbs on one item or job read its bucket only; an append is visible whole or not at all, and concurrent ones all survive.
+    """
 
     def __init__(self, spark: SparkSession, store: str, config: Config = DEFAULT):
         self.spark, self.store, self.config = spark, store.rstrip("/"), config
+        self.log = BucketLog(spark, self.store, review.EVENTS, "item_id", ("ts", "event_id"))
+        self.job_log = BucketLog(spark, f"{self.store}-jobs", FILES, "job_id", ("file", "seq"))
 
     def _exists(self, path: str) -> bool:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -38,10 +46,17 @@ class Engine:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def events(self) -> DataFrame:
-        return self.spark.read.schema(review.EVENTS).parquet(self.store) if self._exists(self.store) else review.empty_log(self.spark)
+        return self.log.read()
+
+    def append(self, events: DataFrame, tag: tuple[str, str] | None = None) -> None:
+        self.log.append(events, tag)
+        self.compact()
 
-    def append(self, events: DataFrame) -> None:
-        events.write.mode("append").parquet(self.store)
+    def compact(self) -> None:
+        """Merge the runs of buckets that have gathered many; where another writer does so at the same time, its result stands."""
+        for log in (self.log, self.job_log):
+            with contextlib.suppress(ConflictError):
+                log.compact()
 
     def field_spec(self) -> DataFrame:
         return codes.field_spec(self.spark)
@@ -59,26 +74,25 @@ class Engine:
         known = {f.split(" ")[0]: f.split(" ")[1] for f in FILES.split(", ")}
         more = {"job_id": F.lit(job_id), "ts": F.current_timestamp(), "seq": F.lit(seq).cast("long")}
         row = [(more[c] if c in more else F.col(c) if c in files.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items()]
-        files.select(*row).write.mode("append").parquet(f"{self.store}-jobs")
-
-    def _job_log(self) -> DataFrame:
-        path = f"{self.store}-jobs"
-        return self.spark.read.schema(FILES).parquet(path) if self._exists(path) else self.spark.createDataFrame([], FILES)
+        self.job_log.append(files.select(*row))
 
     def process(
         self, files: DataFrame | list[str], pages: PageProvider, vision: ModelProvider, primary: ModelProvider, escalation: ModelProvider | None = None, out: str | None = None,
+        tag: tuple[str, str] | None = None,
     ) -> str:
         """Run files (paths, or a frame of ``path, content``) as one job and give its id.
 
         Clean documents' XML and all reports go to ``out``, held documents to the review queue. A file that
         cannot be opened or extracted fails for itself alone. Paths that do not exist are refused before anything runs.
+        With ``tag`` (a source and the number of its batch) the ids of the job and of held documents follow from it, and a repeated batch is held once.
         """
         if isinstance(files, list):
             missing = [p for p in files if not self._exists(p)]
             if missing:
                 raise FileNotFoundError(", ".join(missing))
             files = self.spark.read.format("binaryFile").load(files).select("path", "content")
-        job_id, seq = uuid.uuid4().hex[:12], iter(range(1, 1_000_000))
+        name = uuid.uuid4().hex if tag is None else hashlib.sha256("/".join(tag).encode()).hexdigest()
+        job_id, seq = name[:12], iter(range(1, 1_000_000))
         files = files.dropDuplicates(["path"]).withColumn("doc_id", F.xxhash64("path"))
         names = files.select(F.col("path").alias("file"))
         self._report(job_id, names.select("file", F.lit("queued").alias("status"), F.lit("waiting").alias("phase")), 0)
@@ -93,8 +107,9 @@ class Engine:
             history = review.correction_history(review.corrections(events), review.items(events))
             done = process.process(self.keep(docs), primary, self.keep, escalation, history, self.config, tell)
             now = F.lit(datetime.datetime.now(datetime.UTC))
+            named = now if tag is None else F.lit(name)
             held = done.where("needs_review")
-            self.append(review.submit(held, now))
+            self.append(review.submit(held, now, named), tag)
             if out is not None:
                 write_results(done, out)
         except Exception as e:
@@ -103,7 +118,7 @@ class Engine:
         error = F.coalesce("read_error", "extract_error")
         last = done.select(
             F.col("source_path").alias("file"), F.when(error.isNull(), F.lit("done")).otherwise(F.lit("failed")).alias("status"), F.when(error.isNull(), F.lit("done")).otherwise(F.lit("failed")).alias("phase"),
-            error.alias("error"), "needs_review", F.when(F.col("needs_review"), review.item_id(now)).alias("item_id"), "tier", F.col("xml").isNotNull().alias("has_xml"),
+            error.alias("error"), "needs_review", F.when(F.col("needs_review"), review.item_id(named)).alias("item_id"), "tier", F.col("xml").isNotNull().alias("has_xml"),
         )
         self._report(job_id, last, next(seq))
         return job_id
@@ -115,20 +130,20 @@ class Engine:
         def each(batch: DataFrame, number: int) -> None:
             rows = self.keep(batch.select("path", "content"))
             if not rows.isEmpty():
-                self.process(rows, pages, vision, primary, escalation, None if out is None else f"{out}/batch-{number}")
+                self.process(rows, pages, vision, primary, escalation, None if out is None else f"{out}/batch-{number}", (f"{self.store}-stream", str(number)))
 
         return jobs.process(stream, each, f"{self.store}-stream")
 
     def jobs(self) -> DataFrame:
         """``job_id, status, done, total, changes``, higher ids first."""
-        rows = self._job_log()
+        rows = self.job_log.read()
         state = jobs.progress(rows.withColumn("seq", F.struct("seq", "ts")))
         status = F.when(F.col("done") == F.col("total"), F.lit("done")).otherwise(F.lit("running"))
         return state.withColumn("status", status).select("job_id", "status", "done", "total", "changes").orderBy(F.desc("job_id"))
 
     def job(self, job_id: str) -> DataFrame:
         """The last state of each file of a job."""
-        rows = self._job_log().where(F.col("job_id") == job_id)
+        rows = self.job_log.lookup(job_id)
         if rows.isEmpty():
             raise KeyError(job_id)
         return jobs.latest_state(rows, ["job_id", "file"], ["seq", "ts"]).orderBy("file")
@@ -142,7 +157,7 @@ class Engine:
         return review.listing(review.items(self.events()), status)
 
     def _one(self, item_id: int) -> DataFrame:
-        found = review.items(self.events()).where(F.col("id") == item_id)
+        found = review.items(self.log.lookup(item_id))
         if found.isEmpty():
             raise KeyError(item_id)
         return found
@@ -150,13 +165,13 @@ class Engine:
     def corrections(self, item_id: int) -> DataFrame:
         """An item's corrections in the order in which they were made."""
         self._one(item_id)
-        return review.correction_list(review.corrections(self.events()), item_id)
+        return review.correction_list(review.corrections(self.log.lookup(item_id)), item_id)
 
     def fields(self, item_id: int) -> DataFrame:
         """``id, key, value`` of one item with its corrections laid over."""
         fields = F.from_json(F.get_json_object("gate_json", "$.fields"), "map<string,string>")
         submitted = self._one(item_id).select("id", F.explode(fields).alias("key", "value"))
-        return review.overlay(submitted, review.corrections(self.events()).where(F.col("review_item_id") == item_id))
+        return review.overlay(submitted, review.corrections(self.log.lookup(item_id)))
 
     def item(self, item_id: int) -> DataFrame:
         """``id, source_path, status, created_at, fields`` (a map), ``problems, corrections`` of one item."""
