@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import codes, scalars
-from foliospark.operators import memory, review
-from foliospark.plans.tables import LOG, query, read, review_log
-
+from foliospark.operators import memory, review, scan
+from foliospark.plans.tables import LOG, keep, query, read, review_log
 
 
 @query("q_corrections_join", LOG + "SELECT c.id, c.item, c.field, c.v corrected, '/in/doc-' || c.item || '.pdf' path FROM c JOIN it USING (item)")
@@ -132,3 +131,40 @@ def text_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", F.col("text").alias("part"))
     return join_parts(parts, ["turn", "role"]).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("whole"))
+
+
+@query("q_asof_join", HISTORY + """, d AS (SELECT ev.id, ts, lpad(CAST(item % 50 AS VARCHAR), 7, '0') || 'KBM000' seller FROM ev), n AS (SELECT seller, ts, id correction, v FROM h WHERE field = 'seller.name')
+SELECT d.id, n.correction, n.v known FROM d ASOF LEFT JOIN n ON d.seller = n.seller AND d.ts >= n.ts""")
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a document of its seller, with the last correction of the seller's name until then."""
+    seller = F.concat(F.lpad((F.col("item_id") % 50).cast("string"), 7, "0"), F.lit("KBM000"))
+    docs = review_log(spark, sf_dir).select(F.col("event_id").alias("id"), seller.alias("seller"), "ts")
+    past = history(spark, sf_dir).where("field_name = 'seller.name'").select("seller", F.col("corrected_at").alias("ts"), F.col("id").alias("correction"), F.col("corrected_value").alias("known"))
+    return scan.asof(docs, past, ["seller"], "ts", ["correction", "known"], lambda df: keep(spark, df), ["correction"]).select("id", "correction", "known")
+
+
+@query("q_memory_as_of", HISTORY + """, d AS (SELECT item id, lpad(CAST(item % 50 AS VARCHAR), 7, '0') || 'KBM000' seller, created ts, 'No ' || item || ' / ' || v0 t FROM it),
+a AS (SELECT d.*, n.v nm FROM d ASOF LEFT JOIN (SELECT * FROM h WHERE field = 'seller.name') n ON d.seller = n.seller AND d.ts >= n.ts),
+b AS (SELECT a.*, n.v rc FROM a ASOF LEFT JOIN (SELECT * FROM h WHERE field = 'seller.rc_number') n ON a.seller = n.seller AND a.ts >= n.ts)
+SELECT id, CASE WHEN contains(t, nm) THEN nm END AS name, CASE WHEN contains(t, rc) THEN rc END rc, CASE WHEN nm IS NULL THEN 0 ELSE 1 END + CASE WHEN rc IS NULL THEN 0 ELSE 1 END notes FROM b""")
+def memory_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a document's seller was known by when the document came; later corrections are not seen."""
+    kept = lambda df: keep(spark, df)
+    seller = F.concat(F.lpad((F.col("id") % 50).cast("string"), 7, "0"), F.lit("KBM000"))
+    none = F.lit(None).cast("string")
+    text = F.concat(F.lit("No "), F.col("id").cast("string"), F.lit(" / "), F.regexp_extract("source_text", r"Total (\d+)", 1))
+    docs = review.items(review_log(spark, sf_dir)).select(F.col("id").alias("doc_id"), seller.alias("seller"), F.col("created_at").alias("received_at"), F.struct(none.alias("seller_name"), none.alias("seller_rc_number")).alias("fields"), text.alias("source_text"))
+    return memory.reuse(docs, history(spark, sf_dir), keep=kept).select(F.col("doc_id").alias("id"), F.col("fields.seller_name").alias("name"), F.col("fields.seller_rc_number").alias("rc"), F.size("notes").alias("notes"))
+
+
+@query("q_hints_as_of", """WITH e AS (SELECT event_id id, user_id % 5 s, event_type label, ts FROM events),
+c AS (SELECT s, id, ts, label, count(*) OVER (PARTITION BY s, label ORDER BY ts, id) n, min(ts) OVER (PARTITION BY s, label) f FROM e),
+m AS (SELECT s, id, ts, max({'n': n, 'f': -epoch_us(f), 'label': label}) OVER (PARTITION BY s ORDER BY ts, id ROWS UNBOUNDED PRECEDING) best FROM c)
+SELECT id, CAST(best.n AS BIGINT) n, 'Corrections of this seller: ' || best.n || '. The value stood ' || CASE WHEN best.n >= 2 THEN 'each time' ELSE 'once' END || ' beside ''' || best.label || '''. Take a value from there only if this document shows it.' hint FROM m""")
+def hints_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hint that every event would have been given, had it been a document; five sellers have all the corrections."""
+    value = F.col("event_id").cast("string")
+    e = read(spark, sf_dir, "events").withColumn("seller", (F.col("user_id") % 5).cast("string")).withColumn("ts", F.col("ts").cast("timestamp"))
+    past = e.select("seller", F.lit("buyer.tax_id").alias("field_name"), F.col("event_id").alias("id"), F.col("ts").alias("corrected_at"), value.alias("corrected_value"), F.concat(F.lit("7\n"), value, F.lit(" "), "event_type", F.lit("\n9")).alias("source_text"))
+    docs = e.select(F.col("event_id").alias("doc_id"), "seller", F.col("ts").alias("received_at"))
+    return memory.hints_as_of(docs, past, lambda df: keep(spark, df)).select(F.col("doc_id").alias("id"), "n", "hint")
