@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import scalars
-from foliospark.operators import assemble, rules
-from foliospark.plans.tables import INV, invoices, lines, money, query, read, records
+from foliospark.operators import assemble, occur, rules
+from foliospark.plans.tables import INV, invoices, keep, lines, money, query, read, records
 
 # What the rules find, in SQL: p(doc_id, rule, severity, field)
 PROBLEMS = INV + """,
@@ -78,23 +78,13 @@ def tax_id_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(key.alias("id"), scalars.compact(raw).alias("compacted"), (F.size(found) > 0).alias("bad"))
 
 
-#: Values that one pass over the documents takes along.
-ITEMS = 2000
-
-
 @query("q_occurrence", """WITH d AS (SELECT doc_id, replace(lower(regexp_replace(text, '\\s', '', 'g')), 'ß', 'ss') t FROM documents), b AS (SELECT item_id, replace(lower(regexp_replace(text, '\\s', '', 'g')), 'ß', 'ss') v FROM benchmark)
 SELECT item_id, doc_id FROM b JOIN d ON contains(t, v)""")
 def occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole benchmark items that stand in whole texts: a stated query set, sent out in blocks of bounded size and held against each text in turn."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", scalars.fold(F.col("text")).alias("folded"))
-    values = read(spark, sf_dir, "benchmark").select("item_id", scalars.fold(F.col("text")).alias("value")).where("length(value) > 0")
-    blocks = max(1, -(-values.count() // ITEMS))
-    out = None
-    for i in range(blocks):
-        some = values.where(F.pmod(F.xxhash64("item_id", "value"), F.lit(blocks)) == i) if blocks > 1 else values
-        found = docs.join(F.broadcast(some), F.col("folded").contains(F.col("value"))).select("item_id", "doc_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Whole benchmark items that stand in whole texts, by their rarest grams."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), scalars.fold(F.col("text")).alias("text"))
+    values = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), scalars.fold(F.col("text")).alias("value"))
+    return occur.occurrences(values, docs, lambda df: keep(spark, df)).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
 
 
 @query("q_parse_decimal", """SELECT o_orderkey k, s style, CASE WHEN s = 4 THEN -CAST(o_totalprice AS DECIMAL(18,3)) WHEN s = 5 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,3)) END parsed FROM orders, range(6) r(s)""")
