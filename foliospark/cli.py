@@ -16,7 +16,7 @@ from foliospark.api import Engine
 from foliospark.config import Config
 from foliospark.operators import process, review
 from foliospark.session import session
-from foliospark.sources.files import export_files, read_texts, results_as_text
+from foliospark.sources.files import document_rows, export_files, read_texts, results_as_text
 from foliospark.sources.pages import JsonPages, PageProvider, PlumberPages, ReplayVision, ingest
 from foliospark.sources.providers import HttpProvider, LabelProvider, ModelProvider
 
@@ -52,7 +52,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         done = process.process(docs, provider(args.model, args.url, config), engine.keep, second, history, config)
         held = done.where("needs_review")
         engine.submit(held)
-        written = export_files(done, args.out)
+        export_files(done, args.out)
         if done.where("read_error is not null or extract_error is not null").count():
             print("\n".join(r.e for r in done.select(F.coalesce("read_error", "extract_error").alias("e")).where("e is not null").collect()), file=sys.stderr)
             return 1
@@ -60,7 +60,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         if not args.quiet:
             for row in results_as_text(done).toLocalIterator():
                 print(row.report)
-        print("wrote:", *written, sep="\n  ")
+        print("wrote:", *(f"{args.out}/{r.name}" for r in document_rows(done).select("name").toLocalIterator()), sep="\n  ")
         return code
     except Exception as e:  # noqa: BLE001  the boundary to the shell
         print(f"failed: {type(e).__name__}: {e}", file=sys.stderr)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,11 @@ MONTHS = {
 DECIMAL = "decimal(20,6)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; without it Catalyst would copy the value into each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def present(c: Column) -> Column:
     """The value, or null if it is null or an empty string."""
     return F.nullif(c, F.lit(""))
@@ -66,9 +74,24 @@ def compact(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s/\-.]", ""))
 
 
+#: Complete case folding, derived from Python's: characters that fold to one character, and those that fold to several.
+_FOLDED = {chr(i): chr(i).casefold() for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i)}
+_SINGLE = {k: v for k, v in _FOLDED.items() if len(v) == 1}
+_SEVERAL = {k: v for k, v in _FOLDED.items() if len(v) > 1}
+_PAIRS = "array(" + ", ".join(f"named_struct('a', '{k}', 'b', '{v}')" for k, v in _SEVERAL.items()) + ")"
+
+
+def casefold(c: Column) -> Column:
+    """The text with all differences of case removed, whatever stands around a character: ligatures and the sharp s become letters, every sigma the same one, the dotted I an i and a dot. Not by locale."""
+    plain = F.translate(c, "".join(_SINGLE), "".join(_SINGLE.values()))
+    some = F.when(c.rlike("[" + "".join(_SEVERAL) + "]"), F.expr(_PAIRS)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    full = F.aggregate(some, plain, lambda text, p: F.replace(text, p["a"], p["b"]))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(c))
+
+
 def fold(c: Column) -> Column:
-    """Lower case without white space, sharp s as ss: the form in which values are looked for in a text."""
-    return F.replace(F.lower(F.regexp_replace(c, r"(?U)\s", "")), F.lit("ß"), F.lit("ss"))
+    """Without white space and differences of case: the form in which values are looked for in a text."""
+    return casefold(F.regexp_replace(c, r"(?U)\s", ""))
 
 
 def occurs(value: Column, folded_text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.scalars import labelled, stem
 from foliospark.operators.tiers import split_sinks
+from foliospark.sources.docfiles import DocumentFiles
 
 
 def scan_pdfs(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,10 +48,10 @@ def read_einvoices(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path).withColumnRenamed("text", "xml")
 
 
-def results_as_text(results: DataFrame) -> DataFrame:
-    """``name, source, fields, report, xml`` of processed documents, each a text; ``xml`` is null where a person must look first."""
+def results_as_text(results: DataFrame, *more: str) -> DataFrame:
+    """``name, source, fields, report, xml`` of processed documents, each a text, and the columns in ``more``; ``xml`` is null where a person must look first."""
     return results.select(
-        stem(F.col("source_path")).alias("name"), F.coalesce("source_text", F.lit("")).alias("source"),
+        *more, stem(F.col("source_path")).alias("name"), F.coalesce("source_text", F.lit("")).alias("source"),
         F.to_json(F.col("fields").withField("line_items", F.col("line_items")) if "line_items" in results.columns else F.col("fields"), {"ignoreNullFields": "false"}).alias("fields"),
         report(results.columns).alias("report"), F.when(~F.coalesce("needs_review", F.lit(True)), F.col("xml")).alias("xml"),
     )
@@ -68,20 +69,20 @@ def write_results(results: DataFrame, folder: str, partitions: int | None = None
 ENDINGS = (("source", ".source.txt"), ("fields", ".fields.json"), ("report", ".report.txt"), ("xml", ".xml"))
 
 
-def export_files(results: DataFrame, folder: str) -> list[str]:
-    """One file for each text of a few documents, named after their sources; written by the driver, one document at a time. Batches belong in ``write_results``."""
-    spark, written = results.sparkSession, []
-    jvm = spark.sparkContext._jvm
-    for row in results_as_text(results).toLocalIterator():
-        for column, ending in ENDINGS:
-            if row[column] is None:
-                continue
-            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.name}{ending}")
-            out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-            out.write(bytearray(row[column].encode()))
-            out.close()
-            written.append(path.toString())
-    return written
+def document_rows(results: DataFrame) -> DataFrame:
+    """``name, content``: a row for each file of each document; of documents whose sources have one name all but the first by path get a mark of path and content."""
+    texts = results_as_text(results.withColumn("_path", F.coalesce("source_path", F.lit(""))), "_path")
+    texts = texts.withColumn("_mark", F.lower(F.hex(F.xxhash64("_path", "source", "fields", "report"))))
+    first = texts.groupBy("name").agg(F.min(F.struct("_path", "_mark")).alias("_first"))
+    named = texts.join(first, "name").withColumn("name", F.when(F.col("_first") == F.struct("_path", "_mark"), F.col("name")).otherwise(F.concat("name", F.lit("~"), "_mark")))
+    files = F.array(*(F.struct(F.concat("name", F.lit(ending)).alias("name"), F.col(column).alias("content")) for column, ending in ENDINGS))
+    return named.select(F.inline(files)).where("content is not null")
+
+
+def export_files(results: DataFrame, folder: str, flat: bool = True) -> None:
+    """One file for each text of each document, written by the executors and published at once; without ``flat`` in a folder for each partition, which is what many documents need. XML only of documents that need no review."""
+    results.sparkSession.dataSource.register(DocumentFiles)
+    document_rows(results).write.format("document_files").option("flat", str(flat).lower()).mode("append").save(folder)
 
 
 def report(columns: list[str]) -> Column:
