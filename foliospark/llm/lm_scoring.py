@@ -1,15 +1,16 @@
 """Cross-entropy difference: loss under a target model minus loss under a background model, per token.
 
 Both models are interpolated modified Kneser-Ney models of word bigrams over one
-shared vocabulary: words (A-Z lower-cased, split at ASCII white space) hashed into
-``VOCABULARY`` numbers, of which those that occur anywhere count, plus one unknown word, in
+shared vocabulary: words (A-Z lower-cased, split at ASCII white space, told apart by 64-bit hashes), the most
+frequent exactly and no two as one. Words too rare for the ``MOST_WORDS`` places, with all of equal frequency, are one
+unknown word, and one more word that never occurs has a share, in
 both models alike. The target is trained on the given documents, the background on every
 document, and each document is scored by both without its own counts (leave one
 out), so a document that nothing else resembles cannot look familiar and no
 target document vouches for itself. Discounts are those of the whole models.
 A low score means text more like the target; a low background loss means wording that the corpus repeats.
 
-Steps: (1) one pass over the texts writes blocks: a bounded number of tokens with the
+Steps: (0) words are counted, by block and then by word; the places go to the most frequent. (1) One pass over the texts writes blocks: a bounded number of tokens with the
 block's distinct bigrams and a sparse document-by-bigram matrix. (2) Every block
 sends each of its bigrams once, already counted, to the partition that its hash names;
 partitions add up and answer each block with the counts of both models, so a bigram that stands in every
@@ -41,7 +42,9 @@ from foliospark.llm.shingle_join import word_hashes
 from foliospark.llm.token_counts import pack_ints, unpack_ints
 
 BITS = 18
-VOCABULARY, BEGIN, END = 1 << BITS, 2, 3
+VOCABULARY, UNKNOWN, BEGIN, END = 1 << BITS, 1, 2, 3
+#: Words with a number of their own.
+MOST_WORDS = VOCABULARY - 4
 MASK = VOCABULARY - 1
 BLOCK_TOKENS = 400_000
 #: Bigrams of blocks that one partition adds up, at most about.
@@ -71,10 +74,40 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack_longs(blob))
 
 
-def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed bigrams of all texts one after another, and how many each text has: one for each word and the end."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of a bounded number of tokens, counted."""
+    held: list[np.ndarray] = []
+    for b in chain(chunks(batches, 1 << 20), [None]):
+        if b is not None:
+            held.append(word_hashes(byte_list(b.column("text")))[0])
+        if held and (b is None or sum(map(len, held)) > BLOCK_TOKENS):
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            held = []
+            yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+
+
+def frequent_words(docs: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Sorted hashes of the most frequent words, ``MOST_WORDS`` at most; of words of equal frequency all are in or none."""
+    counts = scratch.write(doc_text(docs).select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    least, places = 0, MOST_WORDS
+    for n, words in counts.groupBy("n").count().orderBy(F.desc("n")).limit(MOST_WORDS + 1).toArrow().select(["n", "count"]).to_pandas().itertuples(index=False):
+        if words > places:
+            least = n + 1
+            break
+        places -= words
+    found = counts.where(F.col("n") >= least).select("word").toArrow().column("word")  # MOST_WORDS numbers at most
+    scratch.drop(counts)
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
+def bigrams(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Packed bigrams of all texts one after another, and how many each text has: one for each word and the end. ``known``: sorted hashes of the words with numbers, or else all of these texts."""
     hashes, counts = word_hashes(texts)
-    tokens = np.insert((hashes % np.uint64(VOCABULARY - 4)).astype(np.int64) + 4, np.cumsum(counts), END)
+    known = np.unique(hashes) if known is None else known
+    place = np.searchsorted(known, hashes)
+    numbers = np.where(np.append(known, np.uint64(0))[place] == hashes, place + 4, UNKNOWN) if len(known) else np.full(len(hashes), UNKNOWN)
+    numbers[place == len(known)] = UNKNOWN
+    tokens = np.insert(numbers.astype(np.int64), np.cumsum(counts), END)
     lengths = counts + 1
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
@@ -91,14 +124,14 @@ def _by_doc(lengths: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(lengths)), lengths)
 
 
-def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _make_blocks(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task, seq, held, ids, target, n, entries, counts = TaskContext.get().partitionId(), 0, 0, [], [], [], [], []
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.list_(pa.int32())] * 2, *[pa.binary()] * 3, pa.int64()]
     for b in chain(chunks(batches, 1 << 20), [None]):
         if b is not None:
-            keys, lengths = bigrams(byte_list(b.column("text")))
+            keys, lengths = bigrams(byte_list(b.column("text")), known)
             each, times = np.unique((_by_doc(lengths) + len(n)) << 2 * BITS | keys, return_counts=True)
             entries.append(each)
             counts.append(times)
@@ -264,7 +297,8 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lm-scoring")
     listed = scratch.write(target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("target")).distinct(), "target")
     marked = doc_text(docs).join(checked_side(listed), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    blocks = scratch.write(marked.mapInArrow(_make_blocks, _BLOCKS), "blocks")
+    known = spark.sparkContext.broadcast(frequent_words(docs, scratch))  # a fixed size
+    blocks = scratch.write(marked.mapInArrow(lambda batches: _make_blocks(batches, known.value), _BLOCKS), "blocks")
     parts = max(shuffle_partitions(spark), int(blocks.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first().n) // PART_KEYS + 1)
     told = scratch.write(_exchange(blocks, parts), "counts")
     background, aim, some = _models(told)

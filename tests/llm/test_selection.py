@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import divergence, importance, permutation_index
+from foliospark.llm import divergence, importance, lm_scoring, permutation_index
 
 DOCS = "doc_id long, text string, lang string, source string, block long, term string, rank int, value long, score double, weight long, class long"
 WORDS = [*(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)), "Été", "naïve", "x1y", "don't", "ab\x00cd", "日本"]
@@ -181,3 +181,37 @@ def test_footrule_is_the_footrule_distance():
     place = lambda x: np.array([[list(row).index(p) if p in row else 6 for p in range(16)] for row in x])
     distance = np.abs(place(q)[:, None, :] - place(r)[None, :, :]).sum(2)
     assert (distance == 6 * 7 - 2 * near).all()
+
+
+def test_rare_words_are_one_unknown_word_and_no_others_meet(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[min(299, int(rng.expovariate(0.02)))] for _ in range(rng.randrange(1, 80))) for _ in range(60)]
+    counts = Counter(w for t in texts for w in t.split())
+    sizes = Counter(counts.values())
+    least, places = 1, 40
+    for n in sorted(sizes, reverse=True):
+        if sizes[n] > places:
+            least = n + 1
+            break
+        places -= sizes[n]
+    frequent = {w for w, n in counts.items() if n >= least}
+    assert 10 < len(frequent) <= 40 < len(counts)
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in range(0, 60, 4)], "doc_id long")
+    replaced = {r.doc_id: r for r in lm_scoring.score(frame([" ".join(w if w in frequent else "rare" for w in t.split()) for t in texts]), target).collect()}
+    monkeypatch.setattr(lm_scoring, "MOST_WORDS", 40)
+    for r in lm_scoring.score(frame(texts), target).collect():
+        other = replaced[r.doc_id]
+        assert r.n_tokens == other.n_tokens and r.score == pytest.approx(other.score, abs=1e-9) and r.background_loss == pytest.approx(other.background_loss, abs=1e-9)
+
+
+def test_many_words_keep_numbers_of_their_own(spark):
+    docs = spark.range(100).select("id", F.array_join(F.transform(F.sequence(F.col("id") * 2500, F.col("id") * 2500 + 2499), lambda i: F.concat(F.lit("word"), i.cast("string"))), " ").alias("text"))
+    from foliospark.llm._common import Scratch
+
+    known = lm_scoring.frequent_words(docs.select(F.col("id").alias("doc_id"), "text"), Scratch(spark, "words"))
+    assert len(known) == 250_000
+    keys, _ = lm_scoring.bigrams([b"word0 word249999 nowhere word77", b"word100"], known)
+    tokens = (keys & lm_scoring.MASK).tolist()
+    assert tokens[2] == lm_scoring.UNKNOWN and tokens[4] == tokens[6] == lm_scoring.END and len({tokens[0], tokens[1], tokens[3], tokens[5]}) == 4 and min(tokens[0], tokens[1], tokens[3], tokens[5]) >= 4
