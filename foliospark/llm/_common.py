@@ -26,6 +26,8 @@ CHUNK_BYTES = 4 << 20
 BATCH_ROWS = 1000
 #: Bytes in such a batch, unless the session asks for fewer.
 BATCH_BYTES = 8 << 20
+#: Short rows (ids, links, list entries) that are worth a file of their own.
+FILE_ROWS = 50_000
 _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,8 +57,9 @@ class Scratch:
         self._paths: dict[int, str] = {}
         self._count = 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Materialise ``df``; its shuffle files go as soon as the table is written."""
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Materialise ``df``; its shuffle files go as soon as the table is written. Of a table of at most ``rows`` short rows no more files are made than these fill."""
+        df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
         path = f"{self.root}/{self._count:02d}-{name}"
         self._count += 1
         before = self.spark.conf.get(_CLEANUP, None)

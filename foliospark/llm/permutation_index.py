@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foliospark.llm._common import Scratch, checked_side, shuffle_partitions, table
+from foliospark.llm._common import Scratch, shuffle_partitions, table
 
 NEAREST = 20
 #: A row in this many is a query.

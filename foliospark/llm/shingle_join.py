@@ -343,7 +343,7 @@ def _settle_group(rows: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
 
-def _long_lists(own: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _long_lists(own: DataFrame, sets: DataFrame, scratch: Scratch, rows: int) -> tuple[DataFrame, DataFrame]:
     """Links from the long lists, and ``node, hot`` (the group of lists that a node is in).
 
     Lists that share a document form a group. A group's sets are dealt into blocks of
@@ -352,7 +352,7 @@ def _long_lists(own: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[Data
     """
     long = own.where(F.col("k") > LONG_LIST)
     member = long.join(long.groupBy("gram").agg(F.min("node").alias("head")), "gram").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    hot = scratch.write(connected_components(member, scratch).withColumnRenamed("label", "hot"), "hot")
+    hot = scratch.write(connected_components(member, scratch, rows).withColumnRenamed("label", "hot"), "hot", rows)
     inside = hot.join(own.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n")), "node")
     size = inside.groupBy("hot").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("long").alias("blocks"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("hot", "blocks")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -379,27 +379,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     post = prefixes.select("node", "n", "l", F.explode(F.arrays_zip("grams", "levels")).alias("g")).select("node", "n", "l", F.col("g.grams").alias("gram"), F.col("g.levels").alias("level"))
     lists = post.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
     post = scratch.write(post.join(lists.select("gram"), "gram", "left_semi"), "post")
-    sets = scratch.write(_sets_of(full, scratch.write(post.select("node").distinct(), "nodes")), "sets")
+    size = post.count()
+    sets = scratch.write(_sets_of(full, scratch.write(post.select("node").distinct(), "nodes", size)), "sets")
     scratch.drop(full)
 
     links, labels, cost = spark.createDataFrame([], "u long, v long"), None, None
-    size = post.count()
     for turn in range(MAX_ROUNDS + 1):
         own = post.withColumn("label", F.col("node")) if labels is None else post.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = own.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same")).where("k * k > same")
-        own = scratch.write(own.join(open_, "gram"), "own")
+        own = scratch.write(own.join(open_, "gram"), "own", size)
         left = own.agg(F.coalesce(F.sum((F.col("k") - F.col("same") / F.col("k")) / 2), F.lit(0.0)).alias("pairs")).first().pairs  # each of a list's k rows has its share
         if not left:
             break
         settle = turn == MAX_ROUNDS or left <= 2 * size or (cost is not None and left > 0.8 * cost)
         cost = left
         if settle:
-            joined, hot = _long_lists(own, sets, scratch)
-            links = scratch.write(links.unionByName(joined), "links")
+            joined, hot = _long_lists(own, sets, scratch, size)
+            links = scratch.write(links.unionByName(joined), "links", size)
             own = own.join(hot, "node", "left")
             spare = own.where(F.col("k") > LONG_LIST).groupBy("node").agg(F.count("*").alias("long"))  # lists that the count below leaves out
             short = own.where(F.col("k") <= LONG_LIST).join(spare, "node", "left").select("gram", "node", "n", "l", "level", "label", F.coalesce("hot", "node").alias("hot"), F.coalesce("long", F.lit(0)).alias("long"))
-            short = scratch.write(short, "short")
+            short = scratch.write(short, "short", size)
             other = short.select("gram", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "l", "level", "label", "hot", "long")))
             match = short.join(other, "gram").where("node < node2 and label <> label2 and hot <> hot2 and level <= l2 and level2 <= l").where(_LENGTHS)
             pairs = match.groupBy(F.col("node").alias("u"), F.col("node2").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("l", "l2")).alias("want"), F.min(F.least("long", "long2")).alias("long")).where(F.col("c") + F.col("long") >= F.col("want")).select("u", "v")
@@ -407,8 +407,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             lead = own.groupBy("gram").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64(F.lit(turn), "node")).alias("h")).select("gram", F.col("h.node").alias("node2"), F.col("h.n").alias("n2"), F.col("h.label").alias("label2"))
             met = own.join(lead, "gram").where("node <> node2 and label <> label2").where(_LENGTHS).groupBy("node", "node2").agg(F.count("*").alias("c"))
             pairs = met.groupBy(F.col("node").alias("u")).agg(F.max_by("node2", F.struct("c", "node2")).alias("v"))
-        links = scratch.write(links.unionByName(_verify(pairs, sets)), "links")
-        labels = scratch.write(connected_components(links, scratch), "labels")
+        links = scratch.write(links.unionByName(_verify(pairs, sets)), "links", size)
+        labels = scratch.write(connected_components(links, scratch, size), "labels", size)
         if settle:
             break
     named = classes if labels is None else classes.join(labels, "node", "left")
