@@ -2,15 +2,16 @@
 
 Candidate windows are the words around each licensing cue, as far as the longest
 template can reach from it however its lines are wrapped; windows that meet are one.
-In a window every template whose words could be there is compared with it word by word,
-and those are confirmed whose words the window holds in order up to ``1 - least`` of them.
-Of confirmed notices that overlap, the one that holds most words stays, then the
-one with fewer differing words, then the one that as a raw dictionary makes zstandard
-shrink the notice most. What is confirmed is taken out and the window is
-searched again until nothing is left. The differing words are reported.
+A window is compressed by itself and with each template as zstandard's raw dictionary, and the templates are
+ranked by how many bytes they save. In this order they are compared with the window word by word; the
+first one of which the window holds the words in order, up to ``1 - least`` of them, is confirmed and its words are taken
+out. What is left is ranked again until nothing is confirmed, so no notice is lost to a longer or more similar one. Templates
+whose words are not all but as many in the window cannot be confirmed and are not tried. Where windows overlap, the
+notice that saves more stays. The differing words are reported.
 
 Null and empty texts, and texts without a cue, give no row. Repeated rows of
-documents are reported once each. Other columns are not read.
+documents are reported once each. An empty table gives no row. A text is cut into windows of a bounded size, so the time
+for it grows with its length only; its words are held in memory. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,15 +33,34 @@ LEAST = 0.85
 #: Words that a window of dense cues holds before the next one begins; windows overlap by the reach of the longest template.
 WINDOW_WORDS = 600
 
+# fixed values: identifiers and names of licences, and wordings of notices
+NAMES = {
+    "0BSD": "BSD Zero Clause License", "AFL-3.0": "Academic Free License version 3.0", "AGPL-3.0": "GNU Affero General Public License version 3", "Apache-1.1": "Apache Software License, Version 1.1", "Apache-2.0": "Apache License, Version 2.0",
+    "Artistic-2.0": "Artistic License 2.0", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-4-Clause": "BSD 4-Clause License", "BSL-1.0": "Boost Software License - Version 1.0",
+    "CC-BY-3.0": "Creative Commons Attribution 3.0", "CC-BY-4.0": "Creative Commons Attribution 4.0", "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0", "CC-BY-NC-ND-4.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "CC-BY-ND-4.0": "Creative Commons Attribution-NoDerivatives 4.0", "CC-BY-SA-3.0": "Creative Commons Attribution-ShareAlike 3.0", "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0",
+    "CC0-1.0": "Creative Commons Zero v1.0 Universal", "CDDL-1.0": "Common Development and Distribution License 1.0", "CECILL-2.1": "CeCILL Free Software License Agreement v2.1", "CPL-1.0": "Common Public License 1.0", "ECL-2.0": "Educational Community License v2.0",
+    "EPL-1.0": "Eclipse Public License - v 1.0", "EPL-2.0": "Eclipse Public License - v 2.0", "EUPL-1.2": "European Union Public Licence v. 1.2", "GFDL-1.3": "GNU Free Documentation License, Version 1.3", "GPL-2.0": "GNU General Public License version 2",
+    "GPL-3.0": "GNU General Public License version 3", "ISC": "ISC License", "LGPL-2.1": "GNU Lesser General Public License version 2.1", "LGPL-3.0": "GNU Lesser General Public License version 3", "LPPL-1.3c": "LaTeX Project Public License v1.3c",
+    "MIT": "MIT License", "MPL-1.1": "Mozilla Public License 1.1", "MPL-2.0": "Mozilla Public License 2.0", "MS-PL": "Microsoft Public License (Ms-PL)", "NCSA": "University of Illinois/NCSA Open Source License", "ODbL-1.0": "Open Database License v1.0",
+    "OFL-1.1": "SIL Open Font License, Version 1.1", "OSL-3.0": "Open Software License version 3.0", "PostgreSQL": "PostgreSQL License", "PSF-2.0": "Python Software Foundation License Version 2", "Unlicense": "The Unlicense", "UPL-1.0": "Universal Permissive License v1.0",
+    "Vim": "Vim License", "WTFPL": "Do What The F*ck You Want To Public License", "Zlib": "zlib License",
+}
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
 _BSD_2 = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_END = " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 
 #: Wordings of common notices (id, wording).
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("all-rights-reserved", "All rights reserved."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", _MIT),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -50,7 +70,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("BSD", _BSD),  # the sentence that its kinds share, where nothing more is there
     ("BSD-2-Clause", _BSD + _BSD_2),
-    ("BSD-3-Clause", _BSD + _BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", _BSD + _BSD_2 + _BSD_3),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
@@ -60,9 +80,25 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GFDL-1.3", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("MIT", _MIT + _MIT_END),
+    ("ISC", _ISC + _ISC_END),
+    ("BSD-2-Clause", _BSD + _BSD_2 + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_2 + _BSD_3 + _BSD_END),
+    *((i, f"Licensed under the {name}.") for i, name in NAMES.items()),
+    *((i, name) for i, name in NAMES.items()),
+    *((i, f"SPDX-License-Identifier: {i}") for i in NAMES),
 )
 
-_CUE = re.compile(r"licen[sc]|rights[\W_]+reserved|permission|redistribut|copyright|public[\W_]+domain|free[\W_]+software", re.IGNORECASE)
+_CUE = re.compile(r"licen[sc]|rights[\W_]+reserved|permission|redistribut|copyright|public[\W_]+domain|creative[\W_]+commons|free[\W_]+software", re.IGNORECASE)
 
 
 def words(text: str) -> list[str]:
@@ -107,6 +143,25 @@ class Scanner:
                 if stop == b:
                     break
 
+    def saved(self, i: int, raw: bytes) -> int:
+        """Bytes that a template saves as a dictionary."""
+        return len(self.alone.compress(raw)) - len(self.given[i].compress(raw))
+
+    def better(self, i: int, got: tuple, left: list[str | None], asked: list[int]) -> tuple[int, tuple]:
+        """Of a confirmed notice's words, compressed by themselves, the template that saves most and is confirmed there too; of those that save as much the one with fewer differing words."""
+        p, q = got[1:3]
+        raw = " ".join(left[p:q]).encode()
+        saved = {j: self.saved(j, raw) for j in asked}
+        best = (saved[i], -len(got[3]), -i, got)
+        for j in sorted((j for j in asked if saved[j] >= saved[i] and j != i), key=lambda j: -saved[j]):
+            if saved[j] < best[0]:
+                break
+            theirs = self.templates[j][1]
+            a = max(0, p - self.odd(theirs))
+            if there := self.compare(theirs, left[a : q + self.odd(theirs)]):
+                best = max(best, (saved[j], -len(there[3]), -j, (there[0], a + there[1], a + there[2], there[3])))
+        return -best[2], best[3]
+
     def compare(self, theirs: list[str], mine: list[str | None]) -> tuple[int, int, int, list[str]] | None:
         """Held words, first word, word after the last and differing words of a notice of this wording."""
         slack, least = self.odd(theirs), self.least * len(theirs)
@@ -124,7 +179,7 @@ class Scanner:
             if held >= least and None not in near[p:q]:
                 inside = [o for o in ops if o[0] != "equal" and (o[2] > o[1] or p <= o[3] < q)]
                 odd = [w for o in inside for w in [*("-" + x for x in theirs[o[1] : o[2]]), *("+" + x for x in near[max(o[3], p) : min(o[4], q)])]]
-                if len(odd) <= slack:
+                if len(odd) <= slack and sum(w[0] == "+" for w in odd) <= slack / 2:
                     return held, a + p, a + q, odd
             left[run.b : run.b + run.size] = [None] * run.size
 
@@ -138,27 +193,23 @@ class Scanner:
         found = []
         for a, b in self.windows(mine):
             left: list[str | None] = list(mine[a:b])
-            asked = range(len(self.templates))
+            asked = list(range(len(self.templates)))
             while asked:
-                bag, hits = Counter(left), []
-                for i in asked:
-                    name, theirs = self.templates[i]
-                    if sum(min(n, bag[w]) for w, n in self.bags[i].items()) < self.least * len(theirs):
-                        continue
-                    if got := self.compare(theirs, left):
-                        held, p, q, odd = got
-                        raw = " ".join(left[p:q]).encode()
-                        fall = 1 - len(self.given[i].compress(raw)) / len(self.alone.compress(raw))
-                        hits.append((held, -len(odd), fall, -i, a + p, a + q, odd))
-                for hit in (hits := sorted(hits, reverse=True)):
-                    p, q = hit[4] - a, hit[5] - a
-                    if None not in left[p:q]:
-                        found.append(hit)
+                bag = Counter(left)
+                asked = [i for i in asked if sum(min(n, bag[w]) for w, n in self.bags[i].items()) >= self.least * len(self.templates[i][1])]
+                raw = " ".join(w or "" for w in left).encode()
+                saved = {i: self.saved(i, raw) for i in asked}
+                for i in sorted(asked, key=lambda i: (-saved[i], i)):
+                    if got := self.compare(self.templates[i][1], left):
+                        i, (held, p, q, odd) = self.better(i, got, left, asked)
+                        mine_alone = " ".join(left[p:q]).encode()
+                        found.append((self.saved(i, mine_alone), held, -len(odd), -i, a + p, a + q, odd, self.saved(i, mine_alone) / len(self.alone.compress(mine_alone))))
                         left[p:q] = [None] * (q - p)
-                asked = [-h[3] for h in hits]
+                        break
+                    asked.remove(i)  # nor will it be there when more words have been taken out
         out: dict[tuple[str, int, int], tuple[float, float, str]] = {}
         taken: set[int] = set()
-        for held, _, fall, i, p, q, odd in sorted(found, reverse=True):
+        for _, held, _, i, p, q, odd, fall in sorted(found, key=lambda f: f[:6], reverse=True):
             name, theirs = self.templates[-i]
             if taken.isdisjoint(range(p, q)):
                 taken.update(range(p, q))

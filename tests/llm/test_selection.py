@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import divergence, importance, lm_scoring, permutation_index
+from foliospark.llm import divergence, importance, license_scan, lm_scoring, permutation_index
 
 DOCS = "doc_id long, text string, lang string, source string, block long, term string, rank int, value long, score double, weight long, class long"
 WORDS = [*(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)), "Été", "naïve", "x1y", "don't", "ab\x00cd", "日本"]
@@ -215,3 +215,19 @@ def test_many_words_keep_numbers_of_their_own(spark):
     keys, _ = lm_scoring.bigrams([b"word0 word249999 nowhere word77", b"word100"], known)
     tokens = (keys & lm_scoring.MASK).tolist()
     assert tokens[2] == lm_scoring.UNKNOWN and tokens[4] == tokens[6] == lm_scoring.END and len({tokens[0], tokens[1], tokens[3], tokens[5]}) == 4 and min(tokens[0], tokens[1], tokens[3], tokens[5]) >= 4
+
+
+def test_compression_decides_between_wordings(monkeypatch):
+    text = "\n".join(w for _, w in license_scan.TEMPLATES)
+    want = {(n, i, i + 1) for i, (n, _) in enumerate(license_scan.TEMPLATES)}
+    assert {h[:3] for h in license_scan.Scanner().scan(text)} == want and len({n for n, _ in license_scan.TEMPLATES}) >= 40
+    monkeypatch.setattr(license_scan.Scanner, "saved", lambda self, i, raw: 0)
+    assert {h[:3] for h in license_scan.Scanner().scan(text)} != want
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("SPDX-License-Identifier: AGPL-3.0", "AGPL-3.0"), ("Eclipse Public License - v 2.0", "EPL-2.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3", "AGPL-3.0"), ("Licensed under the BSD 3-Clause license.", "BSD-3-Clause"),
+    ("european union public licence v. 1.2", "EUPL-1.2"), ("some prose about licensing terms and permission slips", None), ("x " * 300_000 + "SPDX-License-Identifier: Zlib " + "y " * 300_000, "Zlib"),
+])
+def test_names_and_tags(text, want):
+    assert [h[0] for h in license_scan.Scanner().scan(text)] == ([want] if want else [])
