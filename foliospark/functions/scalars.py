@@ -23,7 +23,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def present(c: Column) -> Column:
     """The value, or null if it is null or an empty string."""
-    return F.nullif(c, F.lit(""))
+    return F.when(c != "", c)
 
 
 def is_missing(c: Column) -> Column:
