@@ -6,7 +6,7 @@ attempts that Spark has committed, one move a partition (with ``flat`` one a fil
 task that fails and is repeated, or runs twice, leaves neither half a file nor a second one, and a failed job leaves nothing.
 
 A null name or content writes nothing. Names must be unique; slashes in them become underscores. ``overwrite``
-replaces what earlier writes published, ``append`` adds to it (of one name the later file counts where ``flat`` is set).
+empties the folder when the new files are complete, ``append`` adds to it (of one name the later file counts where ``flat`` is set).
 """
 
 from __future__ import annotations
