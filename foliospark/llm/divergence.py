@@ -9,7 +9,7 @@ documents with their exact document frequencies; frequencies are summed by (lang
 (2) The kept terms go back to the blocks that hold them, so a block's automaton has no
 term that the block lacks and stays bounded however large the vocabulary is. A
 pyahocorasick automaton of the kept terms, padded with the delimiter, recounts the occurrences of
-each source; a term inside a longer word cannot match.
+each source; a term inside a longer word cannot match. Terms and groups are numbered, so counts are rows of three numbers.
 
 Counts per (language, term) are then sparse postings ``[(source, p, p of a count of 0)]``. Divergence of two
 sources over all V terms needs only postings: a constant for terms that neither holds, a sum over the terms
@@ -41,7 +41,7 @@ LEAST = 3
 RANKS = 200
 SCALE = 1_000_000_000
 #: Bytes of text in the blocks that a task holds at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Pairs of posting entries that a task holds before it adds them up, and sums that it holds before it gives them out.
 PAIRS, SUMS = 1 << 20, 1 << 20
 #: Parts in which the terms of a source are ranked first, so that one source's terms do not meet in one task.
@@ -95,23 +95,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second pass: occurrences of the block's kept terms in each of its sources, by automaton."""
+    """Second pass: occurrences of the block's kept terms in each of its groups, by automaton; terms and groups by their numbers."""
     inflate = zstandard.ZstdDecompressor()
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, terms = batch.column("lang")[i].as_py(), batch.column("terms")[i].values
+            terms, groups = batch.column("terms")[i].values, batch.column("groups")[i].values
+            numbers = terms.field("id").to_numpy()
             automaton = ahocorasick.Automaton()
-            for at, term in enumerate(terms.to_pylist()):
+            for at, term in enumerate(terms.field("term").to_pylist()):
                 automaton.add_word(f" {term} ", at)
             automaton.make_automaton()
             blob, at = inflate.decompress(batch.column("text")[i].as_py()), 0
-            for source, size in zip(batch.column("sources")[i].as_py(), batch.column("sizes")[i].as_py(), strict=True):
+            for group, size in zip(groups.field("gid").to_pylist(), batch.column("sizes")[i].as_py(), strict=True):
                 text = f" {blob[at : at + size].decode()} "
                 at += size
-                counts = np.bincount(np.fromiter((v for _, v in automaton.iter(text)), np.int64), minlength=len(terms))
+                counts = np.bincount(np.fromiter((v for _, v in automaton.iter(text)), np.int64), minlength=len(numbers))
                 held = np.flatnonzero(counts)
-                n = len(held)
-                yield pa.record_batch([pa.array([lang] * n, pa.string()), terms.take(pa.array(held)), pa.array([source] * n, pa.string()), pa.array(counts[held], pa.int64())], names=["lang", "term", "source", "n"])
+                yield pa.record_batch([pa.array(numbers[held]), pa.array(np.full(len(held), group, np.int64)), pa.array(counts[held], pa.int64())], names=["id", "gid", "n"])
             automaton.clear()
     trim()
 
@@ -211,20 +211,23 @@ def audit(docs: DataFrame) -> DataFrame:
     blocks = scratch.write(texts.mapInArrow(_blocks, _BLOCKS), "blocks")
 
     held = blocks.select("block", "lang", F.explode(F.arrays_zip("terms", "freqs")).alias("x")).select("block", "lang", F.col("x.terms").alias("term"), F.col("x.freqs").alias("freq"))
-    kept = scratch.write(held.groupBy("lang", "term").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= LEAST), "kept")
-    asked = scratch.write(held.select("block", "lang", "term").join(kept.select("lang", "term"), ["lang", "term"]).groupBy("block").agg(F.collect_list("term").alias("terms")), "asked")
-    found = blocks.select("block", "lang", "sources", "sizes", "text").join(asked, "block").mapInArrow(_recount, "lang string, term string, source string, n long")
-    counts = scratch.write(found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")), "counts")
+    kept = held.groupBy("lang", "term").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= LEAST).select("lang", "term")
+    kept = scratch.write(kept.withColumn("id", F.monotonically_increasing_id()), "kept")
+    asked = scratch.write(held.select("block", "lang", "term").join(kept, ["lang", "term"]).groupBy("block").agg(F.collect_list(F.struct("term", "id")).alias("terms")), "asked")
+    here = blocks.select("block", "lang", F.posexplode("sources").alias("at", "source"))
+    groups = scratch.write(here.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
+    named = here.join(checked_side(groups), ["lang", "source"]).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "gid"))).alias("groups"))
+    found = blocks.select("block", "sizes", "text").join(asked, "block").join(named, "block").select("sizes", "text", "terms", "groups").mapInArrow(_recount, "id long, gid long, n long")
+    counts = scratch.write(found.groupBy("id", "gid").agg(F.sum("n").alias("n")), "counts")
     scratch.drop(asked)
 
-    groups = blocks.select("lang", F.explode("sources").alias("source")).distinct()
-    totals = groups.join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left")
-    totals = totals.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
+    totals = groups.join(counts.groupBy("gid").agg(F.sum("n").alias("total")), "gid", "left").join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left")
+    totals = totals.select("gid", "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
     totals = scratch.write(totals.select("*", _share(F.lit(0), F.col("total"), F.col("v")).alias("p0")), "totals")
     langs = scratch.write(totals.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.max("v").alias("lang_v"), F.collect_list(F.struct("source", "p0")).alias("others")), "langs")
 
-    shares = counts.join(checked_side(totals), ["lang", "source"]).select("lang", "term", "source", "n", "p0", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"))
-    posts = shares.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "p", "p0")).alias("posts"))
+    shares = counts.join(checked_side(totals), "gid").select("id", "source", "n", "p0", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"))
+    posts = shares.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "p", "p0")).alias("posts")).join(kept, "id")
     posts = posts.join(checked_side(langs.select("lang", "lang_total", "lang_v")), "lang").select("lang", "term", "posts", _share(F.col("n"), F.col("lang_total"), F.col("lang_v")).alias("q"))
     posts = scratch.write(posts, "postings")
     scratch.drop(counts)
