@@ -10,7 +10,9 @@ The items are a stated query set: they are sent out in blocks of bounded size, e
 of which is held against all documents in one scan without a shuffle.
 
 Null or blank items and texts match nothing. Repeated rows of documents are reported
-once each; items of equal text each count. Other columns are not read.
+once each; items of equal text each count. Without documents or without items there is no row. A text is searched
+whole, in memory that grows with its length; the number of scans grows with the items, one for each block of them.
+Other columns are not read.
 """
 
 from __future__ import annotations

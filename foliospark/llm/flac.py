@@ -9,6 +9,10 @@ without such a table are decoded frame after frame by the same code.
 Supported on reading: 1 to 8 channels, the three stereo decorrelations, constant,
 verbatim, fixed and LPC subframes, wasted bits, Rice codes of both parameter widths
 with any partition order, escape codes. A wrong CRC-8, CRC-16 or MD5 raises ``ValueError``.
+
+Null and empty texts become one block of padding, equal texts equal streams, repeated rows equal rows. An empty table
+gives no row; only ``doc_id`` and ``text`` are read. A text is one stream, encoded and decoded whole in one task, so memory
+grows with the longest text, by some ten times its bytes.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ them or has them elsewhere. A line's first holder never loses it. Texts meet the
 
 Null and empty texts have no line and stay as they are. Rows that share a ``doc_id``
 count as one document, are never held against each other, and lose only what
-their own text has of the deleted lines. All other columns are kept; a column
+their own text has of the deleted lines; rows without one are left as they are. An empty table stays empty. A
+text's lines are held in memory whole, as hashes. All other columns are kept; a column
 ``lines_removed`` that is there already is replaced.
 """
 

@@ -12,7 +12,7 @@ rejected if more than ``repeated`` of its words equal the word before. A languag
 Null and empty texts consist of the end token alone; they have the prior's
 perplexity and are kept. Without any trusted document
 only repeated words are rejected.
-Repeated rows are scored alike, an empty table gives no row, rows without an id are never trusted;
+Very long texts are one document each, held with their trigrams in one block. Repeated rows are scored alike, an empty table gives no row, rows without an id are never trusted;
 columns other than ``doc_id``, ``text`` and ``lang`` are not read.
 """
 

@@ -10,7 +10,8 @@ therefore off by a parcel or so, about ``1 / grain`` of its size.
 
 Null texts count as empty ones. Repeated rows stay separate rows of one group.
 Of equal dot products the lower shard wins; rows without an id are placed like others.
-An empty table gives an empty result. Columns other than ``doc_id`` and ``text``
+An empty table gives an empty result. A group heavier than a shard fills one by
+itself, and long texts are only measured, never held together. Columns other than ``doc_id`` and ``text``
 are not read, so clashing names cannot matter.
 """
 

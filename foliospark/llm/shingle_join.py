@@ -25,7 +25,7 @@ Steps, none of which holds one key's rows in a task:
 Equal sets are one node from the start. Null or blank texts have no shingle and are linked
 with nothing; with fewer than five words the whole sequence is the one shingle. Repeated
 rows get the same component. Rows without an id are counted; they share the component of equal texts
-that have one and are held against no other text. An empty table gives no row; other columns are
+that have one and are held against no other text. A very long text is one set, held in memory whole. An empty table gives no row; other columns are
 not read. Nodes are 64-bit fingerprints of sets.
 """
 

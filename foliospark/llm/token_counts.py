@@ -9,7 +9,7 @@ of text and a hot pre-token appears once a block, so no key can swell a task.
 
 Texts of plain Latin characters are pre-split by an equal regular expression;
 others, and those with a special string of the tokenizer inside, go through the
-library's own normaliser and splitter. Null and empty texts have no token. Repeated rows
+library's own normaliser and splitter. Null and empty texts have no token; a very long text is a block of its own. Repeated rows
 count alike, rows without an id are counted too, an empty table gives no row, and columns
 other than ``doc_id`` and ``text`` are not read.
 """

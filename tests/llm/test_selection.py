@@ -231,3 +231,24 @@ def test_compression_decides_between_wordings(monkeypatch):
 ])
 def test_names_and_tags(text, want):
     assert [h[0] for h in license_scan.Scanner().scan(text)] == ([want] if want else [])
+
+
+def test_a_text_of_many_megabytes(spark):
+    """One text of 6 MB among short ones goes through each operator on texts whole."""
+    from foliospark.llm import decontaminate, line_dedup, quality_lm, shingle_join
+
+    rng = random.Random(9)
+    lines = [" ".join(f"w{rng.randrange(5000)}" for _ in range(12)) for _ in range(90_000)]
+    long = "\n".join(lines)
+    item = " ".join(lines[60_000:60_003])
+    texts = [long, "short one", "\n".join([*lines[70_000:70_010], "an ending of its own"]), long + " more"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    near = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs).collect()}
+    assert near == {0: 0, 1: 1, 2: 2, 3: 0}
+    cut = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(docs).collect()}
+    assert cut[0] == 0 and cut[2] == 10 and cut[3] >= 89_999
+    left = decontaminate.clean_documents(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
+    assert quality_lm.classify(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == 4
+    weights = {r.doc_id: r.n_features for r in importance.resample(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert weights[0] == 3 * 90_000 * 12 - 3
