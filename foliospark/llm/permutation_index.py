@@ -9,12 +9,13 @@ ranked again by the inner product on the original vectors, in double precision,
 last; the best of all visited chunks are merged.
 
 How many files a query visits and how many rows of a chunk are ranked again is found out for the data at hand:
-``PROBES`` queries, a fixed number, are compared with every vector, and the smallest numbers are taken with which these queries
-find ``COVERED`` and ``FOUND`` of their true neighbours. Pivots are a bounded sample of the distinct vectors (those with the smallest hashes,
+``PROBES`` query rows, a fixed number, are compared with every vector, and the smallest numbers are taken with which these queries
+find ``COVERED`` and ``FOUND`` of their true neighbours, copies of their own vectors among these, and nearly each of them at least ``LEAST`` of its own. Pivots are a bounded sample of the distinct vectors (those with the smallest hashes,
 about the square root of their number, ``PIVOTS`` at most, ``PIVOT_BYTES`` at most); every vector is indexed.
 
 Equal vectors are one entry with their smallest ids, no more than a result can show, so a vector that stands in a third of
-all rows is searched and compared once; the queries among its rows share the result and leave out themselves.
+all rows is searched and compared once; the queries among its rows share the result and leave out themselves. The entry of a
+query's own vector is always ranked again, however many others have its representation, and its file is visited first.
 Chunks bound what one task sees of a file, slices bound the queries that meet a chunk. Pairs of all queries and all vectors are
 never rows: what leaves a chunk is one row a query with its best.
 
@@ -46,6 +47,8 @@ PLACES = (8, 64)
 CHUNK_ROWS, SLICE_ROWS = (256, 8192), 4096
 #: Queries whose true neighbours are looked up, and the shares of these that visited files must hold and that must be found.
 PROBES, COVERED, FOUND = 128, 0.97, 0.955
+#: What a single one of these must find, and the shares of them for which visited files must hold, and give, so much.
+LEAST, HELD, SURE = 0.9, 0.98, 0.95
 #: Numbers that a task holds at a time while it compares queries with a chunk.
 CELLS = 2 << 20
 
@@ -97,12 +100,22 @@ class Chunk:
         self.vectors = np.frombuffer(batch.column("vectors")[i].as_py(), np.float64).reshape(len(self.first), -1)
         self.pivots = np.frombuffer(batch.column("pivots")[i].as_py(), np.uint16).reshape(-1, places)
         self.ids = batch.column("ids")[i].values
+        self.at = {v.tobytes(): r for r, v in enumerate(self.vectors)}
+
+    def keys(self, queries: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Keys that are largest for the rows nearest by footrule: a query's own vector first, ties go to the row that comes first."""
+        n = len(self.first)
+        key = near.astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        for q, v in enumerate(queries):
+            own = self.at.get(v.tobytes())
+            if own is not None:
+                key[q, own] = 1 << 62
+        return key
 
     def best(self, queries: np.ndarray, near: np.ndarray, again: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and inner products of the ``NEAREST + 1`` best among the ``again`` rows nearest by footrule."""
         n = len(self.first)
-        key = near.astype(np.int64) * n + np.arange(n - 1, -1, -1)  # ties go to the row that comes first
-        again = min(n, again)
+        key, again = self.keys(queries, near), min(n, again)
         rows = np.argpartition(-key, again - 1, axis=1)[:, :again] if again < n else np.broadcast_to(np.arange(n), key.shape)
         score = inner(self.vectors[rows], queries[:, None, :])
         order = np.lexsort((self.first[rows], -score), axis=-1)[:, : NEAREST + 1]
@@ -147,8 +160,9 @@ def _visit(pivots: np.ndarray, rows_in: np.ndarray, visits: int) -> Callable[[It
             if b.num_rows:
                 order = ordered_pivots(matrix(b.column("embedding")), pivots, len(pivots))
                 files = []
-                for x in order:
-                    x = x[rows_in[x] > 0]
+                for x, coded in zip(order, b.column("pivots").to_pylist(), strict=True):
+                    own = np.frombuffer(coded, np.uint16, 1)
+                    x = np.concatenate((own, x[(rows_in[x] > 0) & (x != own)])).astype(np.int64)
                     enough = int(np.searchsorted(np.cumsum(rows_in[x]), NEAREST + 1)) + 1
                     files.append(x[: max(visits, enough)].tolist())
                 yield pa.record_batch([*b.columns, pa.array(files, pa.list_(pa.int32()))], names=[*b.schema.names, "files"])
@@ -185,9 +199,10 @@ def _probe(queries: np.ndarray, own: list[int], near: np.ndarray, turn: np.ndarr
                     foot = footrule(near[q : q + 1], chunk.pivots, n_pivots)
                     rows, scores = chunk.best(queries[q : q + 1], foot, len(chunk.first))
                     rank = np.empty(len(chunk.first), np.int64)
-                    rank[np.argsort(-foot[0], kind="stable")] = np.arange(len(rank))
+                    rank[np.argsort(-chunk.keys(queries[q : q + 1], foot)[0])] = np.arange(len(rank))
                     when = int(turn[q, b.column("file")[i].as_py()])
-                    out.append([{"away": -s, "id": int(chunk.first[r]), "turn": when, "rank": int(rank[r])} for r, s in zip(rows[0].tolist(), scores[0].tolist(), strict=True) if chunk.first[r] != own[q]])
+                    hits = [(-s, i, when, int(rank[r])) for r, s in zip(rows[0].tolist(), scores[0].tolist(), strict=True) for i in chunk.ids[r].as_py() if i != own[q]]
+                    out.append([dict(zip(("away", "id", "turn", "rank"), x, strict=True)) for x in sorted(hits)[:NEAREST]])
                 kind = pa.list_(pa.struct([("away", pa.float64()), ("id", pa.int64()), ("turn", pa.int32()), ("rank", pa.int32())]))
                 yield pa.record_batch([pa.array(range(len(queries)), pa.int32()), pa.array(out, kind)], names=["probe", "hits"])
 
@@ -198,15 +213,23 @@ def _merged(best: DataFrame, key: str) -> DataFrame:
     return best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, NEAREST + 1).alias("hits"))
 
 
+def _enough(needed: np.ndarray, probe: np.ndarray, all_of: float, most: float) -> int:
+    """The smallest number at which ``all_of`` the neighbours are reached, and ``LEAST`` of each probe's own for ``most`` of the probes; ``needed`` says from which number on one is."""
+    each = [np.sort(needed[probe == p]) for p in np.unique(probe)]
+    each = np.sort([x[int(np.ceil(LEAST * len(x))) - 1] for x in each])
+    quantile = lambda x, share: x[int(np.ceil(share * len(x))) - 1]
+    return int(max(quantile(np.sort(needed), all_of), quantile(each, most)))
+
+
 def _tuned(probed: DataFrame) -> tuple[int, int]:
     """Visits and rows ranked again; the fixed number of probes keeps what comes to the driver small."""
-    true = _merged(probed, "probe").select(F.explode(F.slice("hits", 1, NEAREST)).alias("x"))
-    seen = np.array([tuple(r) for r in true.select("x.turn", "x.rank").collect()], np.int64).reshape(-1, 2)
+    true = _merged(probed, "probe").select("probe", F.explode(F.slice("hits", 1, NEAREST)).alias("x"))
+    seen = np.array([tuple(r) for r in true.select("probe", "x.turn", "x.rank").collect()], np.int64).reshape(-1, 3)
     if not len(seen):
         return 1, NEAREST + 1
-    visits = int(np.sort(seen[:, 0])[int(np.ceil(COVERED * len(seen))) - 1]) + 1
-    rank = np.sort(np.where(seen[:, 0] < visits, seen[:, 1], 1 << 40))
-    return visits, max(NEAREST + 1, int(rank[int(np.ceil(FOUND * len(seen))) - 1]) + 1)
+    probe, turn, rank = seen.T
+    visits = _enough(turn + 1, probe, COVERED, HELD)
+    return visits, max(NEAREST + 1, _enough(np.where(turn < visits, rank + 1, 1 << 40), probe, FOUND, SURE))
 
 
 def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -248,15 +271,16 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", column: s
 
     members = scratch.write(rows.where("asks").select("vec_id", "h", "embedding").join(classes.select("h", "embedding", "class"), ["h", "embedding"]).select(F.col("vec_id").alias("query_id"), "class"), "members")
     asked = scratch.write(coded.join(members.select("class").distinct(), "class", "left_semi").select("class", "first", "h", "embedding", "pivots"), "asked")
-    probes = asked.orderBy(F.xxhash64("h", F.lit(1)), "h").limit(PROBES).collect()
+    drawn = members.orderBy(F.xxhash64("query_id"), "query_id", "class").limit(PROBES)
+    probes = asked.join(drawn, "class").orderBy("query_id", "class").collect()
     if not probes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tried, near = np.array([r.embedding for r in probes], np.float64), np.frombuffer(b"".join(r.pivots for r in probes), np.uint16).reshape(-1, places)
     order, turn = ordered_pivots(tried, pivots, n_pivots), np.zeros((len(probes), n_pivots), np.int64)
     for q, files in enumerate(order):
-        files = files[rows_in[files] > 0]
-        turn[q, files] = np.arange(len(files))
-    probed = chunks.mapInArrow(_probe(tried, [r.first for r in probes], near, turn, places, n_pivots), "probe int, hits array<struct<away: double, id: long, turn: int, rank: int>>")
+        files = files[(rows_in[files] > 0) & (files != near[q, 0])]
+        turn[q, files] = np.arange(1, len(files) + 1)
+    probed = chunks.mapInArrow(_probe(tried, [r.query_id for r in probes], near, turn, places, n_pivots), "probe int, hits array<struct<away: double, id: long, turn: int, rank: int>>")
     visits, again = _tuned(probed)
 
     routed = asked.mapInArrow(_visit(pivots, rows_in, visits), f"class long, first long, h long, embedding array<{element}>, pivots binary, files array<int>")

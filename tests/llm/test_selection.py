@@ -167,6 +167,14 @@ def test_neighbours_with_copies_are_exact_when_all_files_are_visited(spark, monk
     assert searched(spark, rows) == brute_nearest(rows, {i for i, _ in rows if i % 20 == 0})
 
 
+def test_neighbours_that_are_copies_of_vectors_without_a_pivot(spark):
+    """Unit vectors are equally far from all pivots but one at most, so their representations are alike."""
+    rng = np.random.default_rng(5)
+    rows = [(i, np.eye(50)[k].tolist()) for i, k in enumerate(rng.integers(0, 50, 1200))]
+    want, got = brute_nearest(rows, {i for i, _ in rows if i % 20 == 0}), searched(spark, rows)
+    assert all(len(dict(got[q]).keys() & dict(want[q]).keys()) >= 18 for q in want)
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [-0.0, 2.0]), (4, [3.0, 1.0]), (40, None), (60, [0.0, -0.0]), (80, [1.0, None]), (100, [float("nan"), 1.0]), (120, [float("inf"), 1.0]), (140, []), (160, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     got = searched(spark, rows)
