@@ -250,3 +250,19 @@ def test_prompts_name_what_is_asked(spark):
     assert prompt.startswith(providers.AGAIN + "total_ttc\n") and "- total_ttc: look below" in prompt and '{"currency":"TND"}' in prompt and prompt.endswith("TEXT\nthe text")
     assert [f.name for f in providers.reply_schema(("total_ttc", "line_items"))] == ["total_ttc", "line_items"] and "_verification" in providers.reply_schema().names
     assert providers.shrink_box(3200, 800) == (1600, 400) and providers.shrink_box(100, 50) == (100, 50)
+
+
+def test_tables_that_nothing_reads_any_more_go(spark):
+    from pathlib import Path
+
+    from foliospark.operators.repair import Held
+    from foliospark.plans.tables import Keeper
+
+    held = Held(Keeper(spark))
+    first = held(spark.range(3).toDF("x"))
+    second = held(first.where("x > 0"))
+    one, two = (Path(f.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent for f in (first, second))
+    held.drop(first)
+    assert not one.exists() and two.exists() and second.count() == 2
+    held.drop_all()
+    assert not two.exists() and not held.frames
