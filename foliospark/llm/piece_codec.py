@@ -7,11 +7,11 @@ merged piece, one of the unigram kind keeps its scores. No piece of such a model
 reaches past a word boundary, so the distinct words of a batch are encoded at once
 by the library's threads and texts are put together from their words' ids.
 
-Parity with the sentencepiece library: runs of two or more spaces meet pieces of
-equal score, whose merge order the backend cannot express, so such texts are
-encoded by the sentencepiece library itself. Of the rest, every distinct word is
-encoded by both when a worker first meets it, every text that is not split by words too, and one
-whole text in ``verify_every`` (by checksum) again. Where they differ, the sentencepiece library's ids hold and
+Parity with the sentencepiece library: the backend encodes every text, those with runs of
+spaces, markers and NUL too, and every whole text is encoded by the sentencepiece library as well
+(``verify_every = 1``). With a larger ``verify_every``, every distinct word is encoded by both when a
+worker first meets it, every text that is not split by words too, and one whole text in ``verify_every`` (by
+checksum) again. Where they differ, the sentencepiece library's ids hold and
 ``agreed`` is false, so that one text fails no job. Each text's ids are decoded and compared with the text.
 
 Null and empty texts give no ids. Text that a model cannot restore (it has unknown
@@ -21,8 +21,9 @@ gives none. A text and its ids are held whole by one worker, however long. Only
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 from zlib import crc32
 
@@ -38,6 +39,8 @@ KNOWN_WORDS = 75_000
 #: Words that are encoded as one text.
 AT_ONCE = 256
 MARK = "▁"
+#: A word with the spaces before it, or the spaces at a text's end.
+SPACED = re.compile(" *[^ ]+| +")
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -110,7 +113,8 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 
 class PieceCodec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: bool = False):
+        """``whole``: both libraries' ids of whole texts are compared, so that those of single words need not be."""
         import sentencepiece
         from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
@@ -134,55 +138,77 @@ class PieceCodec:
         if m["escape"]:
             steps.append(normalizers.Replace(" ", MARK))
         self.tokenizer.normalizer = normalizers.Sequence(steps)
-        inside = any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind == 1)
+        inside = any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind in (1, 4))
         if m["escape"] and not inside:  # no piece goes on past a marker, so a word's ids are the same in any text
             self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else b" \xe2\x81\x87 " if kind == 2 else p.replace(MARK, " ").encode() for p, _, kind in pieces]
-        self.prefix, self.tied = m["dummy_prefix"], m["kind"] == 2
+        self.prefix, self.strips, self.whole = m["dummy_prefix"], m["extra_spaces"], whole
         self.by_word = m["escape"] and not inside and m["dummy_prefix"] and not m["charsmap"]
         self.opens = np.array([p.startswith(MARK) for p, _, _ in pieces])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.differ: set[str] = set()
+        self.lead = len(self.ids(["a"])[0]), len(self.other.encode("a"))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, text: str) -> list[str] | None:
+        """Words of a text without the space before each; further spaces before a word are part of it. None where a text must stay whole."""
+        if not text or not self.by_word:
+            return None
+        text = text.replace(MARK, " ")
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return None if self.strips else [w[1:] for w in SPACED.findall(" " + text)]
 
     def learn(self, words: list[str]) -> None:
-        """Ids of new words by both backends. A word's first piece alone starts with the marker, so words are encoded side by side and cut apart there."""
+        """Ids of new words, by both backends unless whole texts are compared. A word's first piece alone starts with the marker, so words are encoded side by side and cut apart there."""
+        alone = [w for w in words if not w or w[0] == " "]  # begins with more than one marker, or is only markers
+        words = [w for w in words if w and w[0] != " "] if alone else words
         groups = [words[at : at + AT_ONCE] for at in range(0, len(words), AT_ONCE)]
         texts = [" ".join(g) for g in groups]
-        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        for group, ids, want in zip(groups, found, self.other.encode(texts, num_threads=1), strict=True):
+        wants = [None] * len(texts) if self.whole else self.other.encode(texts, num_threads=1)
+        for group, ids, want in zip(groups, self.ids(texts), wants, strict=True):
             cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
-            if ids.tolist() == want and len(cuts) == len(group) + 1:
+            if (self.whole or ids.tolist() == want) and len(cuts) == len(group) + 1:
                 raw = ids.tobytes()
                 self.known.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:], strict=False))
-                continue
-            for w in group:
-                want = self.other.encode(w)
-                self.known[w] = np.array(want, np.int32).tobytes()
-                if self.tokenizer.encode(w, add_special_tokens=False).ids != want:
-                    self.differ.add(w)
+            else:
+                alone += group
+        texts = ["a " + w for w in alone]
+        for w, text, ids in zip(alone, texts, self.ids(texts), strict=True):
+            ids = ids[self.lead[0] :]
+            if not self.whole and ids.tolist() != (want := self.other.encode(text)[self.lead[1] :]):
+                ids = np.array(want, np.int32)
+                self.differ.add(w)
+            self.known[w] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether both libraries agree on them; texts with ties between equal scores go through the sentencepiece library."""
-        odd = {i for i, t in enumerate(texts) if not t or MARK in t or "\0" in t or not self.by_word or "  " in t or t[0] == " " or t[-1] == " "}
-        if not self.tied and odd:
-            ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            agreed = [True] * len(texts)
-            self.check(texts, ids, agreed, 1)
-            return ids, agreed
-        words = [None if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        asked = set(chain.from_iterable(filter(None, words)))
-        asked -= self.known.keys()
-        again = asked & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        self.learn(list(asked - again))
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            self.known, self.older = {}, known
-        other = iter(self.other.encode([texts[i] for i in sorted(odd)], num_threads=1))
-        ids = [np.array(next(other), np.int32) if w is None else np.frombuffer(b"".join(map(known.__getitem__, w)), np.int32) for w in words]
-        return ids, [not (self.differ and w and self.differ.intersection(w)) for w in words]
+        """Ids of each text, and whether both libraries agree on them: on the whole text, or on each of its words."""
+        words = [self.words(t) for t in texts]
+        unsplit = [i for i, w in enumerate(words) if w is None]
+        flat = pa.array(list(chain.from_iterable(filter(None, words))), pa.string()).dictionary_encode()
+        distinct, codes = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
+        new = [w for w in distinct if w not in self.known]
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        self.learn([w for w in new if w not in self.older])
+        raw = list(map(self.known.__getitem__, distinct))
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        starts, n = np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        tokens = np.array(np.frombuffer(b"".join(raw), np.int32) if raw else [], np.int32)
+        tokens = tokens[np.repeat((starts[codes] - ends[:-1]).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
+        cuts = ends[np.cumsum([0, *(len(w or ()) for w in words)])]
+        ids = [tokens[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+        for i, some in zip(unsplit, self.ids([texts[i] for i in unsplit]), strict=True):
+            ids[i] = some
+        agreed = [not (self.differ and w and self.differ.intersection(w)) for w in words]
+        self.check(texts, ids, agreed, range(len(texts)) if self.whole else unsplit)
+        return ids, agreed
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Pieces joined, byte pieces as raw bytes, the added first space removed."""
@@ -192,23 +218,23 @@ class PieceCodec:
             out.append((raw[1:] if self.prefix and raw[:1] == b" " else raw).decode(errors="replace"))
         return out
 
-    def check(self, texts: list[str], ids: list[np.ndarray], agreed: list[bool], every: int) -> None:
-        """Compare with the sentencepiece library the texts chosen by checksum; where it differs, its ids are taken and the text is marked."""
-        chosen = [i for i, t in enumerate(texts) if every == 1 or crc32(t.encode()) % every == 0]
+    def check(self, texts: list[str], ids: list[np.ndarray], agreed: list[bool], chosen: Sequence[int]) -> None:
+        """Compare the chosen texts with the sentencepiece library; where it differs, its ids are taken and the text is marked."""
         for i, want in zip(chosen, self.other.encode([texts[i] for i in chosen], num_threads=1), strict=True):
             if want != ids[i].tolist():
                 ids[i], agreed[i] = np.array(want, np.int32), False
 
 
-def encode_documents(docs: DataFrame, path: str, verify_every: int = 32, with_ids: bool = True) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, restored, agreed`` and, if asked for, ``ids``."""
+def encode_documents(docs: DataFrame, path: str, verify_every: int = 1, with_ids: bool = True) -> DataFrame:
+    """``doc_id, n_tokens, ids_crc32, restored, agreed`` and, if asked for, ``ids``. Every text is compared whole; with a larger ``verify_every``, its words when first met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(tokenizer_file(path))
+        codec = PieceCodec(tokenizer_file(path), whole=verify_every == 1)
         for b in chunks(batches, BATCH_BYTES):
             texts = b.column("text").to_pylist()
             ids, agreed = codec.encode(texts)
-            codec.check(texts, ids, agreed, verify_every)
+            if not codec.whole:
+                codec.check(texts, ids, agreed, [i for i, t in enumerate(texts) if crc32(t.encode()) % verify_every == 0])
             back = codec.decode(ids)
             lengths = [len(x) for x in ids]
             cols = [

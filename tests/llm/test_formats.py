@@ -56,6 +56,24 @@ def test_other_kinds_of_models_are_refused(tmp_path):
         piece_codec.PieceCodec(unigram_model(tmp_path, ["a"], kind=4))
 
 
+def test_every_text_goes_through_both_backends(spark, tmp_path):
+    normal = [("bc", -1.0), ("ab", -1.0), (piece_codec.MARK, -2.0), *((c, -3.0 - i) for i, c in enumerate("abcx"))]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256)), *((p, s, 1) for p, s in normal)]
+    data = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, t)) for p, s, t in pieces)
+    data += field(2, 2, field(3, 0, 2) + field(35, 0, 1) + field(40, 0, 0) + field(41, 0, 1) + field(42, 0, 2))
+    data += field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
+    path = tmp_path / "ties.model"
+    path.write_bytes(data)
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    tied = ["x abc", "x  abc", " abc", "abc ", f"x{piece_codec.MARK}abc", "abc\0"]  # of two scores alike the library takes the left one, the backend the first piece
+    texts = [*tied, "x ab", "x  bc", " x", "x ", f"x{piece_codec.MARK}x", "x\0", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"verify_every": 1000}):
+        rows = {r.doc_id: r for r in piece_codec.encode_documents(docs, str(path), **options).collect()}
+        assert {i: r.ids for i, r in rows.items()} == {i: library.encode(t or "") for i, t in enumerate(texts)}
+        assert [rows[i].agreed for i in range(len(texts))] == [t not in tied for t in texts]
+
+
 class Bits:
     def __init__(self):
         self.bits = []

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -417,6 +418,28 @@ def test_piece_codec_verifies_every_new_word(monkeypatch):
     assert again[2].tolist() == [*library.encode("some odd"), 5, *library.encode("words")]
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_piece_codec_runs_of_spaces_are_the_backends(whole):
+    rng = random.Random(6)
+    codec = piece_codec.PieceCodec(piece_codec.model_path(), whole)
+    texts = ["", *(t for k in range(1, 60) for t in (" " * k, "a" + " " * k, " " * k + "日本", "x\n" + " " * k + "the"))]
+    texts += ["".join(rng.choice(["the", "a", " ", "  ", "\n", "\0", "é", " " * rng.randint(1, 40)]) for _ in range(rng.randint(1, 20))) for _ in range(300)]
+    assert [x.tolist() for x in codec.ids(texts)] == codec.other.encode(texts)
+    ids, agreed = codec.encode(texts)
+    assert [x.tolist() for x in ids] == codec.other.encode(texts) and all(agreed) and codec.decode(ids) == texts
+    assert [x.tolist() for x in codec.encode([""])[0]] == [[]] and codec.encode([]) == ([], [])
+
+
+def test_piece_codec_compares_every_whole_text():
+    codec = piece_codec.PieceCodec(piece_codec.model_path(), whole=True)
+    texts = [f"some{gap}text number {i}" for i in range(100) for gap in (" ", "  ")]
+    codec.encode(texts)
+    codec.known = {w: ids if w != "text" and w != " text" else b"" for w, ids in codec.known.items()}
+    ids, agreed = codec.encode([*texts, "some number"])
+    assert [x.tolist() for x in ids] == codec.other.encode([*texts, "some number"]) and agreed == [False] * len(texts) + [True]
+    assert inspect.signature(piece_codec.encode_documents).parameters["verify_every"].default == 1
+
+
 def test_piece_codec_lets_words_go(monkeypatch):
     monkeypatch.setattr(piece_codec, "KNOWN_WORDS", 5)
     codec, rng = piece_codec.PieceCodec(piece_codec.model_path()), random.Random(3)
