@@ -5,7 +5,8 @@ normaliser, the word-boundary marker, the pieces with their scores and byte
 fallback. A model of the merging kind becomes merges ranked by the score of the
 merged piece, one of the unigram kind keeps its scores. No piece of such a model
 reaches past a word boundary, so the distinct words of a batch are encoded at once
-by the library's threads and texts are put together from their words' ids.
+by the library's threads and texts are put together from their words' ids. Arrow cuts
+texts into words, finds the distinct ones and joins ids and pieces.
 
 Parity with the sentencepiece library: the backend encodes every text, those with runs of
 spaces, markers and NUL too, and every whole text is encoded by the sentencepiece library as well
@@ -21,26 +22,28 @@ gives none. A text and its ids are held whole by one worker, however long. Only
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm._common import chunks, doc_text, table, tokenizer_file, trim
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 #: Words whose ids a task keeps in each of two generations; those not met again while one fills up are let go.
-KNOWN_WORDS = 75_000
+KNOWN_WORDS = 150_000
 #: Words that are encoded as one text.
 AT_ONCE = 256
 MARK = "▁"
-#: A word with the spaces before it, or the spaces at a text's end.
-SPACED = re.compile(" *[^ ]+| +")
+#: A space and the word after it with its further spaces, or the spaces at a text's end.
+SPACED = r" ( *[^ ]+| *\z)"
+#: Texts that are not words with one space between each two.
+UNEVEN = r"^ |  | \z|" + MARK
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -112,6 +115,13 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(pieces[a][0], pieces[b][0]) for _, _, a, b in sorted(found)]
 
 
+@lru_cache(maxsize=1)
+def _parsed(data: bytes) -> tuple[dict, list[tuple[str, str]]]:
+    """A model and its merges, which a worker keeps for its next task."""
+    m = parse_model(data)
+    return m, merges_of(m["pieces"]) if m["kind"] == 2 else []
+
+
 class PieceCodec:
     def __init__(self, path: str, whole: bool = False):
         """``whole``: both libraries' ids of whole texts are compared, so that those of single words need not be."""
@@ -120,13 +130,13 @@ class PieceCodec:
 
         with open(path, "rb") as f:
             data = f.read()
-        m = parse_model(data)
+        m, merges = _parsed(data)
         pieces = m["pieces"]
         if m["kind"] not in (1, 2):
             raise ValueError("only models of the unigram and the merging kind are supported")
         if m["kind"] == 2:
             vocab = {p: i for i, (p, _, _) in enumerate(pieces)}
-            model = models.BPE(vocab, merges_of(pieces), unk_token=pieces[m["unk"]][0], fuse_unk=True, byte_fallback=m["byte_fallback"], cache_capacity=0)
+            model = models.BPE(vocab, merges, unk_token=pieces[m["unk"]][0], fuse_unk=True, byte_fallback=m["byte_fallback"], cache_capacity=0)
         else:
             model = models.Unigram([(p, s) for p, s, _ in pieces], m["unk"], m["byte_fallback"])
         self.tokenizer = Tokenizer(model)
@@ -142,26 +152,35 @@ class PieceCodec:
         if m["escape"] and not inside:  # no piece goes on past a marker, so a word's ids are the same in any text
             self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else b" \xe2\x81\x87 " if kind == 2 else p.replace(MARK, " ").encode() for p, _, kind in pieces]
+        as_bytes = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else b" \xe2\x81\x87 " if kind == 2 else p.replace(MARK, " ").encode() for p, _, kind in pieces]
+        self.bytes = pa.array(as_bytes, pa.large_binary())
         self.prefix, self.strips, self.whole = m["dummy_prefix"], m["extra_spaces"], whole
         self.by_word = m["escape"] and not inside and m["dummy_prefix"] and not m["charsmap"]
+        # Merges end at markers by themselves and bytes stand for unknown characters, so words with their markers need no normalising and no splitting.
+        self.marked = Tokenizer(model) if self.by_word and m["kind"] == 2 and m["byte_fallback"] else None
         self.opens = np.array([p.startswith(MARK) for p, _, _ in pieces])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.differ: set[str] = set()
         self.lead = len(self.ids(["a"])[0]), len(self.other.encode("a"))
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str] | None:
-        """Words of a text without the space before each; further spaces before a word are part of it. None where a text must stay whole."""
-        if not text or not self.by_word:
-            return None
-        text = text.replace(MARK, " ")
-        if "  " not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" ")
-        return None if self.strips else [w[1:] for w in SPACED.findall(" " + text)]
+    def ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, texts: list[str]) -> pa.Array:
+        """Lists of the words of each text without the space before each; further spaces before a word are part of it. Null where a text must stay whole."""
+        if not self.by_word:
+            return pa.nulls(len(texts), pa.list_(pa.large_string()))
+        col, nothing = pa.array(texts, pa.large_string()), pa.scalar("", pa.large_string())
+        uneven, whole = pc.match_substring_regex(col, UNEVEN), pc.equal(col, nothing)
+        col = pc.replace_substring(col, MARK, " ")
+        if self.strips:
+            whole = pc.or_(whole, pc.match_substring_regex(col, UNEVEN))
+        col = pc.if_else(whole, pa.scalar(None, pa.large_string()), col)
+        if self.strips or not pc.any(uneven).as_py():
+            return pc.split_pattern(col, " ")
+        col = pc.replace_substring_regex(pc.binary_join_element_wise(nothing, col, pa.scalar(" ", pa.large_string())), SPACED, MARK + r"\1")
+        return pc.split_pattern(pc.utf8_slice_codeunits(col, 1), MARK)
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words, by both backends unless whole texts are compared. A word's first piece alone starts with the marker, so words are encoded side by side and cut apart there."""
@@ -170,7 +189,8 @@ class PieceCodec:
         groups = [words[at : at + AT_ONCE] for at in range(0, len(words), AT_ONCE)]
         texts = [" ".join(g) for g in groups]
         wants = [None] * len(texts) if self.whole else self.other.encode(texts, num_threads=1)
-        for group, ids, want in zip(groups, self.ids(texts), wants, strict=True):
+        found = self.ids(texts) if self.marked is None else self.ids([MARK + MARK.join(g) for g in groups], self.marked)
+        for group, ids, want in zip(groups, found, wants, strict=True):
             cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
             if (self.whole or ids.tolist() == want) and len(cuts) == len(group) + 1:
                 raw = ids.tobytes()
@@ -178,7 +198,8 @@ class PieceCodec:
             else:
                 alone += group
         texts = ["a " + w for w in alone]
-        for w, text, ids in zip(alone, texts, self.ids(texts), strict=True):
+        found = self.ids(texts) if self.marked is None else self.ids([MARK + t.replace(" ", MARK) for t in texts], self.marked)
+        for w, text, ids in zip(alone, texts, found, strict=True):
             ids = ids[self.lead[0] :]
             if not self.whole and ids.tolist() != (want := self.other.encode(text)[self.lead[1] :]):
                 ids = np.array(want, np.int32)
@@ -187,44 +208,49 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether both libraries agree on them: on the whole text, or on each of its words."""
-        words = [self.words(t) for t in texts]
-        unsplit = [i for i, w in enumerate(words) if w is None]
-        flat = pa.array(list(chain.from_iterable(filter(None, words))), pa.string()).dictionary_encode()
-        distinct, codes = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
+        words = self.words(texts)
+        unsplit, counts = np.flatnonzero(words.is_null()).tolist(), pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        flat = words.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in distinct if w not in self.known]
         self.known.update((w, self.older[w]) for w in new if w in self.older)
         self.learn([w for w in new if w not in self.older])
-        raw = list(map(self.known.__getitem__, distinct))
+        joined, ends = taken(pa.array(list(map(self.known.__getitem__, distinct)), pa.large_binary()), flat.indices)
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        starts, n = np.cumsum(sizes) - sizes, sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        tokens = np.array(np.frombuffer(b"".join(raw), np.int32) if raw else [], np.int32)
-        tokens = tokens[np.repeat((starts[codes] - ends[:-1]).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
-        cuts = ends[np.cumsum([0, *(len(w or ()) for w in words)])]
+        tokens, cuts = np.array(np.frombuffer(joined, np.int32)), ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))] // 4
         ids = [tokens[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
         for i, some in zip(unsplit, self.ids([texts[i] for i in unsplit]), strict=True):
             ids[i] = some
-        agreed = [not (self.differ and w and self.differ.intersection(w)) for w in words]
+        agreed = [not self.differ.intersection(w or ()) for w in words.to_pylist()] if self.differ else [True] * len(texts)
         self.check(texts, ids, agreed, range(len(texts)) if self.whole else unsplit)
         return ids, agreed
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
+    def joined(self, ids: list[np.ndarray]) -> list[bytes]:
         """Pieces joined, byte pieces as raw bytes, the added first space removed."""
-        out = []
-        for some in ids:
-            raw = b"".join(map(self.bytes.__getitem__, some.tolist()))
-            out.append((raw[1:] if self.prefix and raw[:1] == b" " else raw).decode(errors="replace"))
-        return out
+        raw, ends = taken(self.bytes, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        cuts = ends[np.cumsum([0, *map(len, ids)])].tolist()
+        return [raw[a + (self.prefix and raw[a : min(a + 1, b)] == b" ") : b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return [raw.decode(errors="replace") for raw in self.joined(ids)]
 
     def check(self, texts: list[str], ids: list[np.ndarray], agreed: list[bool], chosen: Sequence[int]) -> None:
         """Compare the chosen texts with the sentencepiece library; where it differs, its ids are taken and the text is marked."""
-        for i, want in zip(chosen, self.other.encode([texts[i] for i in chosen], num_threads=1), strict=True):
-            if want != ids[i].tolist():
+        for i, want in zip(chosen, self.other.encode([texts[i] for i in chosen], num_threads=1, out_type="numpy"), strict=True):
+            if not np.array_equal(want, ids[i]):
                 ids[i], agreed[i] = np.array(want, np.int32), False
 
 
+def taken(values: pa.Array, which: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The chosen values of a large binary array, joined, and where each begins and ends."""
+    if not len(which):
+        return memoryview(b""), np.zeros(1, np.int64)
+    got = values.take(which)
+    ends = np.frombuffer(got.buffers()[1], np.int64, count=len(got) + 1)
+    return memoryview(got.buffers()[2] or b"")[: ends[-1]], ends
+
+
 def encode_documents(docs: DataFrame, path: str, verify_every: int = 1, with_ids: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, restored, agreed`` and, if asked for, ``ids``. Every text is compared whole; with a larger ``verify_every``, its words when first met."""
 
@@ -235,12 +261,12 @@ def encode_documents(docs: DataFrame, path: str, verify_every: int = 1, with_ids
             ids, agreed = codec.encode(texts)
             if not codec.whole:
                 codec.check(texts, ids, agreed, [i for i, t in enumerate(texts) if crc32(t.encode()) % verify_every == 0])
-            back = codec.decode(ids)
+            back = codec.joined(ids)
             lengths = [len(x) for x in ids]
             cols = [
                 b.column("doc_id"), pa.array(lengths, pa.int64()),
                 pa.array([crc32(x) for x in ids], pa.int64()),
-                pa.array([x == y for x, y in zip(texts, back, strict=True)], pa.bool_()), pa.array(agreed, pa.bool_()),
+                pa.array([x.encode() == y for x, y in zip(texts, back, strict=True)], pa.bool_()), pa.array(agreed, pa.bool_()),
             ]
             if with_ids:
                 ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)

@@ -449,6 +449,28 @@ def test_piece_codec_lets_words_go(monkeypatch):
         assert len(codec.known) <= 5 and len(codec.older) <= 5 + 18
 
 
+def test_piece_codec_does_no_work_twice(monkeypatch):
+    parsed, read = [], piece_codec.parse_model
+    monkeypatch.setattr(piece_codec, "parse_model", lambda data: parsed.append(1) or read(data))
+    codec, again = (piece_codec.PieceCodec(piece_codec.model_path(), whole=True) for _ in range(2))
+    assert len(parsed) <= 1 and again.encode(["as it was"])[0][0].tolist() == codec.other.encode("as it was")
+    learnt, learn = [], codec.learn
+    monkeypatch.setattr(codec, "learn", lambda words: learnt.append(len(words)) or learn(words))
+    for start in (0, 80_000, 0, 80_000):  # two batches of as many words stay known
+        codec.encode([" ".join(map(str, range(start, start + 80_000)))])
+    assert learnt == [80_000, 80_000, 0, 0]
+
+
+def test_piece_codec_cuts_texts_as_a_plain_loop_does():
+    codec, rng, mark = piece_codec.PieceCodec(piece_codec.model_path()), random.Random(8), piece_codec.MARK
+    texts = ["", " ", "  ", mark, "a", " a", "a ", "a\n", "\n ", *("".join(rng.choice(["a", "日", " ", "  ", "\n", "\0", "\\1", "$", mark]) for _ in range(rng.randint(1, 12))) for _ in range(3000))]
+    want = [[w[1:] for w in re.findall(" *[^ ]+| +", " " + t.replace(mark, " "))] if t else None for t in texts]
+    assert codec.words(texts).to_pylist() == want and [x for t in texts for x in codec.words([t]).to_pylist()] == want
+    odd = [np.array([rng.randrange(len(codec.opens)) for _ in range(rng.randint(0, 9))], np.int32) for _ in range(500)]
+    raw = [b"".join(codec.bytes[i].as_py() for i in x.tolist()) for x in odd]
+    assert codec.joined(odd) == [r[1:] if r[:1] == b" " else r for r in raw] and codec.decode([]) == []
+
+
 def test_flac_damage_stays_with_its_own_stream(spark):
     good = flac.encode([flac.payload_of(b"abc")])[0]
     media = spark.createDataFrame([(1, 3, bytearray(good)), (2, 9, bytearray(b"fLaC broken")), (3, 0, None), (4, 5, bytearray(good[:-3])), (5, 3, bytearray(good))], "doc_id long, n_bytes long, media binary")
