@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm._common import chunks, doc_text, table
+from foliospark.llm._common import chunks, doc_text, freed, table
 
 RATE = 0.08
 #: Characters of benchmark text that one scan takes along.
@@ -140,7 +140,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_char
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "distance", "budget", "stop"])
 
-        part = doc_text(docs).mapInArrow(run, schema)
+        part = doc_text(docs).mapInArrow(freed(run), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -157,7 +157,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, rate: float = RATE, block
             for b in chunks(batches):
                 yield b.filter(pa.array([not (t and matcher.find(t)) for t in b.column("text").to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(freed(run), docs.schema)
     return out.select(*names)
 
 

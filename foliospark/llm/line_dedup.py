@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm._common import Scratch, checked_side, chunks, doc_text, table
+from foliospark.llm._common import Scratch, checked_side, chunks, doc_text, freed, table
 
 MIN_WORDS = 20
 #: Holders of one run, and later documents of one first holder, that are joined in one place; more are dealt over several.
@@ -154,7 +154,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "hashes", "words", "at", "runs"])
 
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    lines = scratch.write(doc_text(docs).where("doc_id is not null").mapInArrow(split, "doc_id long, hashes array<long>, words array<int>, at array<int>, runs array<long>"), "lines")
+    lines = scratch.write(doc_text(docs).where("doc_id is not null").mapInArrow(freed(split), "doc_id long, hashes array<long>, words array<int>, at array<int>, runs array<long>"), "lines")
     each = lines.select("doc_id", F.explode("runs").alias("h"))
     first = each.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     first = scratch.write(first.where("owner < last").select("h", "owner", "n"), "first")
@@ -172,7 +172,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     followers = scratch.write(pairs.groupBy("owner").agg(F.count("*").alias("n")), "followers")
     owners = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("theirs")).join(followers, "owner")
-    aligned = spread_join(pairs, owners, followers, "owner", scratch).join(lines.drop("runs"), "doc_id").select("doc_id", "hashes", "words", "at", "theirs").mapInArrow(run, "doc_id long, at int, h long")
+    aligned = spread_join(pairs, owners, followers, "owner", scratch).join(lines.drop("runs"), "doc_id").select("doc_id", "hashes", "words", "at", "theirs").mapInArrow(freed(run), "doc_id long, at int, h long")
     return scratch.write(aligned.groupBy("doc_id").agg(F.collect_set(F.struct("at", "h")).alias("gone")), "gone")
 
 
@@ -204,7 +204,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cols[place] = pa.array(texts, b.column("text").type)
             yield pa.record_batch([*cols, pa.array(removed, pa.int32())], names=[*names, "lines_removed"])
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(freed(run), schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

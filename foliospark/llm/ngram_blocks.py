@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import Scratch, chunks, doc_text
+from foliospark.llm._common import Scratch, chunks, doc_text, freed
 from foliospark.llm.token_counts import pack_ints, unpack_ints
 
 BLOCK_BYTES = 8 << 20
@@ -64,7 +64,7 @@ def _make_blocks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[
 
 def make_blocks(docs: DataFrame, scratch: Scratch, max_bytes: int = BLOCK_BYTES) -> DataFrame:
     lang = [F.col("lang").cast("string").alias("lang")] if "lang" in docs.columns else []
-    return scratch.write(doc_text(docs, *lang).mapInArrow(lambda batches: _make_blocks(batches, max_bytes), BLOCK_SCHEMA), "blocks")
+    return scratch.write(doc_text(docs, *lang).mapInArrow(freed(lambda batches: _make_blocks(batches, max_bytes)), BLOCK_SCHEMA), "blocks")
 
 
 def rows_of(blocks: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def count_trigrams(blocks: DataFrame, chosen: DataFrame, scratch: Scratch) -> Da
                 every = np.bincount(index, freq, len(keys)).astype(np.int64)
                 yield pa.record_batch([pa.array(keys), pa.array(some), pa.array(every)], names=["k3", "chosen", "everything"])
 
-    rows = blocks.drop("ids", "langs", "n", "repeated").join(picked, "block", "left").mapInArrow(run, "k3 long, chosen long, everything long")
+    rows = blocks.drop("ids", "langs", "n", "repeated").join(picked, "block", "left").mapInArrow(freed(run), "k3 long, chosen long, everything long")
     return scratch.write(rows.groupBy("k3").agg(F.sum("chosen").alias("chosen"), F.sum("everything").alias("everything")), "counts")
 
 
@@ -160,4 +160,4 @@ def document_losses(blocks: DataFrame, answers: DataFrame, names: list[str]) ->
                     cols.append(pa.array(sums[ends - lengths] - sums[ends]))
                 yield pa.record_batch(cols, names=["doc_id", "lang", "n", "repeated", *names])
 
-    return blocks.drop("keys").join(vectors, "block").mapInArrow(run, "doc_id long, lang string, n long, repeated double" + "".join(f", {c} double" for c in names))
+    return blocks.drop("keys").join(vectors, "block").mapInArrow(freed(run), "doc_id long, lang string, n long, repeated double" + "".join(f", {c} double" for c in names))

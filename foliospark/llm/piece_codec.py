@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm._common import chunks, doc_text, table, tokenizer_file, trim
+from foliospark.llm._common import chunks, doc_text, freed, table, tokenizer_file, trim
 
 BATCH_BYTES = 1 << 20
 #: Words whose ids a task keeps in each of two generations; those not met again while one fills up are let go.
@@ -275,7 +275,7 @@ def encode_documents(docs: DataFrame, path: str, verify_every: int = 1, with_ids
         del codec
         trim()
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, restored boolean, agreed boolean" + ", ids array<int>" * with_ids)
+    return doc_text(docs).mapInArrow(freed(run), "doc_id long, n_tokens long, ids_crc32 long, restored boolean, agreed boolean" + ", ids array<int>" * with_ids)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -288,7 +288,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
                 some = b.slice(at, 256)
                 yield pa.record_batch([some.column("doc_id"), pa.array(codec.decode([np.array(x or [], np.int32) for x in some.column("ids").to_pylist()]), pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(freed(run), "doc_id long, text string")
 
 
 def model_path() -> str:

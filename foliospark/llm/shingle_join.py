@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import Scratch, byte_list, checked_side, chunks, doc_text, shuffle_partitions, table
+from foliospark.llm._common import Scratch, byte_list, checked_side, chunks, doc_text, freed, shuffle_partitions, table
 from foliospark.llm.components import connected_components
 
 WORDS = 5
@@ -196,8 +196,8 @@ def _frequencies(blocks: DataFrame) -> DataFrame:
             if len(hit):
                 yield pa.record_batch([pa.array([block], pa.int64()), pa.array([grams[hit].tobytes()], pa.binary()), pa.array([np.minimum(df[at[hit]], 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["block", "grams", "df"])
 
-    sent = blocks.select("block", "grams").mapInArrow(send, "block long, part int, grams binary, counts binary")
-    back = sent.repartitionById(parts, F.col("part")).mapInArrow(add_up, "block long, grams binary, df binary")
+    sent = blocks.select("block", "grams").mapInArrow(freed(send), "block long, part int, grams binary, counts binary")
+    back = sent.repartitionById(parts, F.col("part")).mapInArrow(freed(add_up), "block long, grams binary, df binary")
     return back.groupBy("block").agg(F.collect_list(F.struct("grams", "df")).alias("shared"))
 
 
@@ -234,7 +234,7 @@ def _with_frequencies(blocks: DataFrame, shared: DataFrame, each: Callable, sche
                     cols = list(zip(*out[start : start + 2000], strict=True))
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return blocks.select("block", "nodes", "n", "first", "kept", "grams").join(shared, "block").mapInArrow(run, schema)
+    return blocks.select("block", "nodes", "n", "first", "kept", "grams").join(shared, "block").mapInArrow(freed(run), schema)
 
 
 KINDS = {
@@ -279,7 +279,7 @@ def _full_blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "nodes", "n", "first", "kept", "grams"])
                 seq, nodes, sizes, grams, held = seq + 1, [], [], [], 0
 
-    return doc_text(docs).join(checked_side(wanted), "doc_id").select("node", "text").mapInArrow(run, "block long, nodes array<long>, n array<int>, first array<int>, kept array<int>, grams binary")
+    return doc_text(docs).join(checked_side(wanted), "doc_id").select("node", "text").mapInArrow(freed(run), "block long, nodes array<long>, n array<int>, first array<int>, kept array<int>, grams binary")
 
 
 def _sets_of(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def _sets_of(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
                     cut = ends[at : at + 1001]
                     yield pa.record_batch([ids.slice(at, 1000), pa.array([raw[x:y].to_pybytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "grams"])
 
-    return blocks.select("nodes", "n", "grams").mapInArrow(run, "node long, grams binary").join(checked_side(nodes), "node", "left_semi")
+    return blocks.select("nodes", "n", "grams").mapInArrow(freed(run), "node long, grams binary").join(checked_side(nodes), "node", "left_semi")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("u"), F.col("grams").alias("gu"))
     right = sets.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
-    return pairs.join(left, "u").join(right, "v").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").mapInArrow(freed(run), "u long, v long")
 
 
 def _settle_group(rows: pa.Table) -> pa.Table:
@@ -369,7 +369,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; the component is the smallest ``doc_id`` reachable by links."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "shingle-join")
-    blocks = scratch.write(doc_text(docs).mapInArrow(_make_blocks, "block long, ids array<long>, nodes array<long>, n array<int>, first array<int>, kept array<int>, grams binary"), "blocks")
+    blocks = scratch.write(doc_text(docs).mapInArrow(freed(_make_blocks), "block long, ids array<long>, nodes array<long>, n array<int>, first array<int>, kept array<int>, grams binary"), "blocks")
     rows = blocks.select(F.explode(F.arrays_zip("ids", "nodes", "n")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.nodes").alias("node"), F.col("d.n").alias("n"))
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     staying = _with_frequencies(blocks, _frequencies(blocks), _stays, "node long").distinct()

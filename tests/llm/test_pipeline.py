@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from foliospark.llm import decontaminate, piece_codec, quality_lm, shingle_join
+from foliospark.llm import _common, decontaminate, piece_codec, quality_lm, shingle_join
 from tests.llm.test_llm import WORDS, brute_repeats, brute_sets, edit_distance_within, prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -137,3 +137,16 @@ def test_stages_of_an_empty_table(spark, tables):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, tables[0]).count() == 0
+
+
+def test_stages_give_memory_back_and_read_few_long_rows(spark, tables, monkeypatch):
+    frame, given = type(spark.range(0)), []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, func, *more, **named: given.append(func) or plain(self, func, *more, **named))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "4096")
+    corpus_pipeline.run(spark, tables[0]).count()
+    assert len(given) > 5 and all(f.__qualname__ == f.__wrapped__.__qualname__ for f in given)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+    seen = []
+    monkeypatch.setattr(_common, "trim", lambda: seen.append("trimmed"))
+    assert [*_common.freed(lambda rows: (seen.append(x) or x for x in rows))([1, 2])] == [1, 2] and seen == [1, 2, "trimmed"]
