@@ -55,7 +55,7 @@ def _values() -> Column:
 
 
 def _findings() -> Column:
-    return let(F.coalesce("xml", F.lit("<")), lambda x: let(xmlcheck.parse(x), lambda d: xmlcheck.findings_of(d, xmlcheck.root_name(x, d))))
+    return let(F.coalesce("xml", F.lit("<")), lambda x: let(xmlcheck.parse(x, xmlcheck.CHECKED), lambda d: xmlcheck.findings_of(d, xmlcheck.root_name(x, d))))
 
 
 def _lines() -> Column:
