@@ -58,6 +58,20 @@ def test_documents_are_filed_repaired_or_held(spark, keep, tmp_path):
     assert clean.count() + held.count() == 6 and clean.join(held, "doc_id").isEmpty()
 
 
+def test_documents_are_made_once_and_meet_their_replies_once(spark, keep):
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df)
+
+    docs = documents(spark, TEXT, "no field").withColumn("source_text", F.concat("source_text", F.lit("\nmade-here")))
+    done = process.extract(docs, LabelProvider(), spy)
+    last = done._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("made-here" in p for p in (*plans, last)) == 1 and last.count("Join ") == 1
+    assert [(r.doc_id, r.extract_error, len(r.calls)) for r in done.orderBy("doc_id").collect()] == [(0, None, 1), (1, None, 1)]
+
+
 def test_second_tier_sees_failing_documents_only_and_must_be_better(spark, keep):
     docs = documents(spark, TEXT, TEXT.replace("286.600", "287.600"), without("seller_name"), without("total_ttc"))
     primary, second = LabelProvider(("total_ttc",), repairs=False, model="small"), LabelProvider(model="large")
